@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LOCAL_SCRATCH: str | None = None
@@ -66,3 +66,31 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def text_mark() -> Column:
+    """A number that tells apart texts under one repeated id; null and empty are alike."""
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+
+
+def keep_decided(docs: DataFrame, decided: DataFrame) -> DataFrame:
+    """Rows of ``docs`` that ``decided`` (doc_id, mark, kept) keeps, by id and ``text_mark``, with the columns of ``docs``.
+
+    Rows alike in id and text are one document: if it is kept, one row of it stays. Both tables are
+    joined on the id; the side of decisions is the smaller, those that drop, and Spark checks its size
+    before it broadcasts it.
+    """
+    votes = decided.groupBy("doc_id", "mark").agg(F.count_if("kept").alias("n_kept"), F.count(F.lit(1)).alias("n"))
+    votes = materialize(votes.where("n_kept < n OR n > 1"), "decided")
+    marked = docs.withColumn("__mark", text_mark())
+    key = F.col("doc_id").cast("long")
+
+    def without(rows: DataFrame, some: DataFrame, how: str) -> DataFrame:
+        some = some.select(F.col("doc_id").alias("__id"), F.col("mark").alias("__m"))
+        return rows.join(some, key.eqNullSafe(F.col("__id")) & (F.col("__mark") == F.col("__m")), how)
+
+    out = without(marked, votes, "left_anti")
+    once = votes.where("n_kept > 0")
+    if once.limit(1).count():
+        out = out.unionByName(without(marked, once, "left_semi").dropDuplicates(["doc_id", "__mark"]))
+    return out.select(*docs.columns)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_and_text, materialize, parallelism
+from .common import id_and_text, materialize, parallelism, text_mark
 
 WHITE = b" \t\n\x0b\x0c\r"
 _CONTINUATION = bytes(range(0x80, 0xC0))
@@ -36,7 +36,7 @@ _INDEX = "shard int, salt int, kind int, doc_id long, n_chars long, digest binar
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_chars, digest): code points of the text and SHA-256 of the text without white space."""
+    """(doc_id, mark, n_chars, digest): code points of the text and SHA-256 of the text without white space."""
 
     def run(batches):
         for b in batches:
@@ -44,13 +44,14 @@ def digests(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     b.column("doc_id"),
+                    b.column("mark"),
                     pa.array([len(t.translate(None, _CONTINUATION)) for t in texts], pa.int64()),
                     pa.array([hashlib.sha256(t.translate(None, WHITE)).digest() for t in texts], pa.binary()),
                 ],
-                ["doc_id", "n_chars", "digest"],
+                ["doc_id", "mark", "n_chars", "digest"],
             )
 
-    return id_and_text(docs).mapInArrow(run, "doc_id long, n_chars long, digest binary")
+    return id_and_text(docs).withColumn("mark", text_mark()).mapInArrow(run, "doc_id long, mark long, n_chars long, digest binary")
 
 
 def winners(hashed: DataFrame) -> DataFrame:
@@ -165,13 +166,13 @@ def lookup(hashed: DataFrame, index: DataFrame, n_shards: int) -> DataFrame:
         .join(hot, "shard", "left")
         .select(
             "shard", F.pmod(F.xxhash64("doc_id"), F.coalesce("n_salts", F.lit(1))).cast("int").alias("salt"), F.lit(1).alias("kind"),
-            "doc_id", "n_chars", "digest", *(F.lit(None).cast("binary").alias(c) for c in ("bits", "slots", "keeps")),
+            "doc_id", "mark", "n_chars", "digest", *(F.lit(None).cast("binary").alias(c) for c in ("bits", "slots", "keeps")),
         )
     )
     none = F.lit(None)
     tables = index.join(salts, "shard").select(
         "shard", F.explode(F.sequence(F.lit(0), F.greatest(F.col("n_salts"), F.lit(1)) - 1)).alias("salt"), F.lit(0).alias("kind"),
-        none.cast("long").alias("doc_id"), none.cast("long").alias("n_chars"), none.cast("binary").alias("digest"), "bits", "slots", "keeps",
+        none.cast("long").alias("doc_id"), none.cast("long").alias("mark"), none.cast("long").alias("n_chars"), none.cast("binary").alias("digest"), "bits", "slots", "keeps",
     )
 
     def run(batches):
@@ -202,14 +203,14 @@ def lookup(hashed: DataFrame, index: DataFrame, n_shards: int) -> DataFrame:
                     got = np.zeros(n, _KEEP)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part.column("doc_id"), part.column("n_chars"), part.column("digest"), pa.array(found),
+                        part.column("doc_id"), part.column("mark"), part.column("n_chars"), part.column("digest"), pa.array(found),
                         pa.array(got["keep_id"], mask=~found | (got["none"] != 0)), pa.array(got["size"], mask=~found), pa.array(got["chars"], mask=~found),
                     ],
-                    ["doc_id", "n_chars", "digest", "member", "keep_id", "group_size", "keep_chars"],
+                    ["doc_id", "mark", "n_chars", "digest", "member", "keep_id", "group_size", "keep_chars"],
                 )
 
     streamed = rows.unionByName(tables).repartition(parallelism(spark), "shard", "salt").sortWithinPartitions("shard", "salt", "kind")
-    return streamed.mapInArrow(run, "doc_id long, n_chars long, digest binary, member boolean, keep_id long, group_size long, keep_chars long")
+    return streamed.mapInArrow(run, "doc_id long, mark long, n_chars long, digest binary, member boolean, keep_id long, group_size long, keep_chars long")
 
 
 def n_shards_for(n_keys: int) -> int:
@@ -217,7 +218,7 @@ def n_shards_for(n_keys: int) -> int:
 
 
 def exact_dedup(docs: DataFrame, history: tuple[DataFrame, int] | None = None) -> DataFrame:
-    """doc_id, n_chars, digest, keep_id, group_size, kept for every row of ``docs``.
+    """doc_id, mark, n_chars, digest, keep_id, group_size, kept for every row of ``docs``.
 
     ``history`` is an index and its number of shards, as ``build_index`` gave them for earlier
     documents: their members are repeats of an earlier winner and never kept; the others are grouped
@@ -230,10 +231,10 @@ def exact_dedup(docs: DataFrame, history: tuple[DataFrame, int] | None = None) -
         n = n_shards_for(best.count())
         found = lookup(hashed, materialize(build_index(best, n), "mph"), n)
         mine = (F.col("doc_id").eqNullSafe(F.col("keep_id"))) & (F.col("n_chars") == F.col("keep_chars"))
-        return _one_kept(found.select("doc_id", "n_chars", "digest", "keep_id", "group_size", mine.alias("kept")))
+        return _one_kept(found.select("doc_id", "mark", "n_chars", "digest", "keep_id", "group_size", mine.alias("kept")))
     found = materialize(lookup(hashed, *history), "looked-up")
-    repeats = found.where("member").select("doc_id", "n_chars", "digest", "keep_id", "group_size", F.lit(False).alias("kept"))
-    new = found.where("NOT member").select("doc_id", "n_chars", "digest")
+    repeats = found.where("member").select("doc_id", "mark", "n_chars", "digest", "keep_id", "group_size", F.lit(False).alias("kept"))
+    new = found.where("NOT member").select("doc_id", "mark", "n_chars", "digest")
     return repeats.unionByName(exact_dedup_digests(new))
 
 
@@ -241,10 +242,15 @@ def exact_dedup_digests(hashed: DataFrame) -> DataFrame:
     """Nonmembers of a historical index, grouped among themselves by full digest."""
     best = winners(hashed)
     mine = (F.col("doc_id").eqNullSafe(F.col("keep_id"))) & (F.col("n_chars") == F.col("keep_chars"))
-    return _one_kept(hashed.join(best, "digest").select("doc_id", "n_chars", "digest", "keep_id", "group_size", mine.alias("kept")))
+    return _one_kept(hashed.join(best, "digest").select("doc_id", "mark", "n_chars", "digest", "keep_id", "group_size", mine.alias("kept")))
 
 
 def _one_kept(rows: DataFrame) -> DataFrame:
     """Of candidate winners repeated under one doc_id, the first only. The window is over winners, of which a digest has few."""
     w = Window.partitionBy("kept", "digest", F.when(~F.col("kept"), F.xxhash64("doc_id"))).orderBy("n_chars")
     return rows.withColumn("kept", F.col("kept") & (F.row_number().over(w) == 1))
+
+
+def decisions(docs: DataFrame) -> DataFrame:
+    """(doc_id, mark, kept) for ``keep_decided``."""
+    return exact_dedup(docs).select("doc_id", "mark", "kept")

@@ -48,7 +48,6 @@ def length_counts(docs: DataFrame, tokenizer: str | None = None, extra: int = 0,
 def suffix_sums(counts: DataFrame) -> DataFrame:
     """Per length L: documents and tokens at L, at L or beyond, up to L, and the tokens that a limit of L keeps."""
     counts = materialize(counts.withColumn("tokens", F.col("n_tokens") * F.col("n_docs")), "lengths")
-    spark = counts.sparkSession
     banded = counts.withColumn("band", F.floor(F.col("n_tokens") / RANGE))
     bands = banded.groupBy("band").agg(F.sum("n_docs").alias("d"), F.sum("tokens").alias("t"))
     after = Window.orderBy(F.col("band").desc()).rowsBetween(Window.unboundedPreceding, -1)  # over ranges only
@@ -62,7 +61,6 @@ def suffix_sums(counts: DataFrame) -> DataFrame:
     )
     docs, tokens = (F.lit(int(whole[0] or 0)), F.lit(int(whole[1] or 0)))
     beyond = F.col("docs_from") - F.col("n_docs")
-    assert spark is not None
     return at.select(
         "n_tokens", "n_docs", "tokens", "docs_from", "tokens_from",
         (docs - beyond).alias("docs_up_to"),

@@ -5,14 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, length_histogram, packing, simhash
+from . import chat, exact_dedup, html_extract, langid, length_histogram, mixing, packing, simhash, url_filter, winnowing
 from .common import read_table
 
 
+def op1_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.link(chat.as_tool_messages(read_table(spark, sf_dir, "conversations")), chat.REPLY_SCHEMAS)
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"))
 
 
+def op3_url_redirect_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(read_table(spark, sf_dir, "pages"))
+
+
+def op4_html_mincut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.main_text(read_table(spark, sf_dir, "pages"))
+
+
+def op5_mix_by_ipf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read_table(spark, sf_dir, "documents"))
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
@@ -22,18 +38,29 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op8_winnowing_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnowing.compare_edited(read_table(spark, sf_dir, "documents"))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(read_table(spark, sf_dir, "documents"))
+
+
 def op10_token_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return length_histogram.length_histogram(read_table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
-    "op2_best_fit_packing": op2_best_fit_packing,
-    "op6_simhash_near_dedup": op6_simhash_near_dedup,
-    "op7_exact_dedup": op7_exact_dedup,
-    "op10_token_length_histogram": op10_token_length_histogram,
-}
+    f.__name__: f
+    for f in (
+        op1_tool_call_linking, op2_best_fit_packing, op3_url_redirect_filter, op4_html_mincut, op5_mix_by_ipf,
+        op6_simhash_near_dedup, op7_exact_dedup, op8_winnowing_fingerprints, op9_language_id, op10_token_length_histogram,
+    )
+}
 
 ORACLE_SQL = {
+    "op3_url_redirect_filter": url_filter.oracle_sql(),
+    "op5_mix_by_ipf": mixing.oracle_sql(),
     "op7_exact_dedup": r"""
 WITH t AS (SELECT doc_id, length(coalesce(text, '')) AS n,
                   sha256(translate(coalesce(text, ''), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '')) AS text_sha256

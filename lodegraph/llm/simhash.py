@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, materialize, parallelism
+from .common import id_and_text, materialize, parallelism, text_mark
 from .components import connected_components
 
 RADIUS = 3
@@ -62,14 +62,14 @@ def fingerprint(text: bytes) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint's 64 bits as a signed long."""
+    """(doc_id, mark, fp): fp is the fingerprint's 64 bits as a signed long."""
 
     def run(batches):
         for b in batches:
             fps = np.fromiter((fingerprint(t or b"") for t in b.column("text").to_pylist()), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("mark"), pa.array(fps.view(np.int64))], ["doc_id", "mark", "fp"])
 
-    return id_and_text(docs).mapInArrow(run, "doc_id long, fp long")
+    return id_and_text(docs).withColumn("mark", text_mark()).mapInArrow(run, "doc_id long, mark long, fp long")
 
 
 def _tiles(a: np.ndarray, b: np.ndarray | None, parent: dict[int, int]) -> None:
@@ -180,8 +180,8 @@ def _emit(held):
             yield pa.RecordBatch.from_arrays([pa.array(fa), pa.array(fb)], ["fa", "fb"])
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, fingerprint (16 hexadecimal digits), component_id for every row."""
+def components(docs: DataFrame) -> DataFrame:
+    """doc_id, mark, fp, component_id for every row."""
     prints = materialize(fingerprints(docs), "simhash")
     reps = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "fingerprints")
     found = links(reps)
@@ -189,4 +189,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     edges = found.join(a, "fa").join(b, "fb").select("u", "v")
     members = connected_components(edges)
     of_fp = reps.join(members, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return prints.join(of_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return prints.join(of_fp, "fp").select("doc_id", "mark", "fp", "component_id")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, fingerprint (16 hexadecimal digits), component_id for every row."""
+    return components(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def decisions(docs: DataFrame) -> DataFrame:
+    """(doc_id, mark, kept) for ``keep_decided``: the smallest id of each component stays, and so do documents without an id."""
+    return components(docs).select("doc_id", "mark", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
