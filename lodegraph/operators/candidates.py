@@ -142,7 +142,7 @@ def tests(g: Graph, anchors: DataFrame) -> DataFrame:
     asked = anchors.where("node_name IS NOT NULL").select("request_id", F.lower("node_name").alias("needle"))
     low = lambda c: F.lower(F.coalesce(F.col(c), F.lit("")))
     rows = chunk_rows(g).where(F.col("is_test") | F.contains(F.lower("file"), F.lit("test")))
-    like = lambda c: c.like(F.concat(F.lit("%"), "needle", F.lit("%")))
+    like = lambda c: F.like(c, F.concat(F.lit("%"), "needle", F.lit("%")))
     hits = rows.join(asked, like(F.lower("file")) | like(low("node_name")) | like(low("qualified_name")))
     return shape(hits.withColumn("ord", F.row_number().over(Window.partitionBy("request_id").orderBy("file", "start_line", "chunk_id"))), 6, "test.related")
 

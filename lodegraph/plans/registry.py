@@ -92,8 +92,8 @@ _BM25 = {
 
 def _bm25_sql(docs: str, words: list[str]) -> str:
     """BM25 of single-word terms."""
-    toks = f"list_filter(regexp_split_to_array(strip_accents(lower(text)), '[^\\p{{L}}\\p{{N}}\\p{{M}}]+'), w -> w <> '')"
-    hits = " UNION ALL ".join(f"SELECT id, dl, {k} AS phrase, len(list_filter(ws, w -> w = '{w}')) AS f FROM bm_t" for k, w in enumerate(words))
+    toks = f"list_filter(regexp_split_to_array(strip_accents(lower(text)), '[^\\p{{L}}\\p{{N}}\\p{{M}}]+'), lambda w: w <> '')"
+    hits = " UNION ALL ".join(f"SELECT id, dl, {k} AS phrase, len(list_filter(ws, lambda w: w = '{w}')) AS f FROM bm_t" for k, w in enumerate(words))
     return f"""SELECT id, -sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * dl / avglen))) AS bm25 FROM
  (WITH bm_t AS MATERIALIZED (SELECT id, {toks} AS ws, len({toks}) AS dl FROM {docs}), bm_h AS MATERIALIZED (SELECT * FROM ({hits}) WHERE f > 0)
   SELECT h.id, h.dl, h.f, count(*) OVER (PARTITION BY phrase) AS df, (SELECT count(*) FROM bm_t) AS n, (SELECT avg(dl) FROM bm_t) AS avglen FROM bm_h h) GROUP BY id HAVING count(*) = {len(words)}"""
@@ -110,7 +110,7 @@ def _full_text(which: str, words: list[str]):
 
 
 register("fts_symbol_bm25", *_full_text("t_sym", ["nation", "17"]))
-register("fts_chunk_bm25", *_full_text("t_chunk", ["thorer", "the"]))
+register("fts_chunk_bm25", *_full_text("t_chunk", ["and", "of"]))
 
 
 def _merged(spark, d):
@@ -119,7 +119,7 @@ def _merged(spark, d):
 
 
 register(
-    "search_merged", lambda s, d: search.search((g := adapters.graph(s, d)).node, g.file, "region_2", 30),
+    "search_merged", lambda s, d: search.search((g := adapters.graph(s, d)).node, g.file, "nation_17", 30),
     f"""SELECT id, score, row_number() OVER (ORDER BY list, rank) AS rank FROM (SELECT id, min(struct_pack(list := list, rank := rank, score := score)) AS m, m.list AS list, m.rank AS rank, m.score AS score FROM (
  SELECT id, 120 AS score, 0 AS list, row_number() OVER (ORDER BY round(bm25, 9), id) AS rank FROM m_fts UNION ALL
  SELECT id, score, 1 AS list, row_number() OVER (ORDER BY score DESC, o1, o2, o3, id) AS rank FROM m_like) WHERE rank <= 30 GROUP BY id) ORDER BY list, rank LIMIT 30""",
@@ -142,8 +142,8 @@ _DEFAULT = duck.quoted(traversal.DEFAULT_KINDS)
 
 
 def _steps_sql(direction: str) -> str:
-    out = f"SELECT src_node_id AS at, id, kind, start_line, 0 AS place, dst_node_id AS adjacent FROM g_edge WHERE src_node_id IS NOT NULL AND kind IN ({_DEFAULT})"
-    into = f"SELECT dst_node_id AS at, id, kind, start_line, 1 AS place, src_node_id AS adjacent FROM g_edge WHERE dst_node_id IS NOT NULL AND kind IN ({_DEFAULT})"
+    out = f"SELECT src_node_id AS hub, id, kind, start_line, 0 AS place, dst_node_id AS adjacent FROM g_edge WHERE src_node_id IS NOT NULL AND kind IN ({_DEFAULT})"
+    into = f"SELECT dst_node_id AS hub, id, kind, start_line, 1 AS place, src_node_id AS adjacent FROM g_edge WHERE dst_node_id IS NOT NULL AND kind IN ({_DEFAULT})"
     return {"out": out, "in": into}.get(direction, f"{out} UNION ALL {into}")
 
 
@@ -156,13 +156,13 @@ def _neighborhood(seed: int, depth: int, direction: str, limit: int, nodes: bool
         return traversal.hydrate_edges(edges, g.edge).select("edge_id", "depth", "kind", "src_node_id", "dst_node_id", "unresolved_dst")
 
     extra = {"n_steps": _steps_sql(direction), "n_v0": f"SELECT CAST({seed} AS BIGINT) AS node_id, 0 AS depth", "n_e0": "SELECT CAST(NULL AS BIGINT) AS edge_id, 0 AS depth, CAST(NULL AS BIGINT) AS o WHERE false"}
-    order = "at, kind, start_line NULLS FIRST, id, place"
+    order = "hub, kind, start_line NULLS FIRST, id, place"
     for k in range(1, depth + 1):
         p = k - 1
-        extra[f"n_r{k}"] = f"SELECT s.*, row_number() OVER (ORDER BY {order}) AS o FROM n_steps s JOIN n_v{p} v ON v.node_id = s.at AND v.depth = {p} WHERE (SELECT count(*) FROM n_v{p}) < {limit} OR {p} = 0"
+        extra[f"n_r{k}"] = f"SELECT s.*, row_number() OVER (ORDER BY {order}) AS o FROM n_steps s JOIN n_v{p} v ON v.node_id = s.hub AND v.depth = {p} WHERE (SELECT count(*) FROM n_v{p}) < {limit} OR {p} = 0"
         extra[f"n_a{k}"] = f"SELECT adjacent AS node_id, min(o) AS o FROM n_r{k} WHERE adjacent IS NOT NULL AND adjacent NOT IN (SELECT node_id FROM n_v{p}) GROUP BY 1 ORDER BY 2 LIMIT (SELECT greatest({limit} - count(*), 0) FROM n_v{p})"
         extra[f"n_v{k}"] = f"SELECT * FROM n_v{p} UNION ALL SELECT node_id, {k} FROM n_a{k}"
-        extra[f"n_e{k}"] = f"""SELECT * FROM n_e{p} UNION ALL SELECT * FROM (SELECT id AS edge_id, {k} AS depth, min(o) AS o FROM (SELECT id, at, min(o) AS o, bool_and(adjacent IS NULL OR adjacent IN (SELECT node_id FROM n_v{k})) AS ok FROM n_r{k} GROUP BY id, at)
+        extra[f"n_e{k}"] = f"""SELECT * FROM n_e{p} UNION ALL SELECT * FROM (SELECT id AS edge_id, {k} AS depth, min(o) AS o FROM (SELECT id, hub, min(o) AS o, bool_and(adjacent IS NULL OR adjacent IN (SELECT node_id FROM n_v{k})) AS ok FROM n_r{k} GROUP BY id, hub)
  WHERE ok AND id NOT IN (SELECT edge_id FROM n_e{p}) GROUP BY 1 ORDER BY 3 LIMIT (SELECT greatest({limit} - count(*), 0) FROM n_e{p}))"""
     if nodes:
         sql = f"SELECT v.node_id, CAST(v.depth AS INTEGER) AS depth, x.kind, x.qualified_name, f.path AS file_path FROM n_v{depth} v JOIN g_node x ON x.id = v.node_id LEFT JOIN g_file f ON f.id = x.file_id"
@@ -413,8 +413,8 @@ register(
 # incremental --------------------------------------------------------------------------------------
 
 register("scan_order", lambda s, d: adapters.graph(s, d).file.select("id", F.substring(F.sha2(tx.scan_key(F.col("path")).cast("binary"), 256), 1, 16).alias("k")),
-         "SELECT id, substr(sha256(array_to_string(list_transform(string_split(path, '/'), (p, i) -> CASE WHEN i = len(string_split(path, '/')) THEN '0' ELSE '1' END || p), chr(1))), 1, 16) AS k FROM g_file")
-_SCAN_KEY = "array_to_string(list_transform(string_split(path, '/'), (p, i) -> CASE WHEN i = len(string_split(path, '/')) THEN '0' ELSE '1' END || p), chr(1))"
+         "SELECT id, substr(sha256(array_to_string(list_transform(string_split(path, '/'), lambda p, i: CASE WHEN i = len(string_split(path, '/')) THEN '0' ELSE '1' END || p), chr(1))), 1, 16) AS k FROM g_file")
+_SCAN_KEY = "array_to_string(list_transform(string_split(path, '/'), lambda p, i: CASE WHEN i = len(string_split(path, '/')) THEN '0' ELSE '1' END || p), chr(1))"
 register(
     "fingerprint", lambda s, d: incremental.fingerprint(adapters.graph(s, d).file.withColumn("root", F.coalesce("language", F.lit("none"))), ["root"]),
     f"SELECT coalesce(language, 'none') AS root, sha256(string_agg(path || chr(0) || content_hash || chr(0), '' ORDER BY {_SCAN_KEY})) AS fingerprint FROM g_file GROUP BY 1",
@@ -478,7 +478,7 @@ def _urls(spark, d):
 
 _URLS = {"u_path": "SELECT page_id AS id, regexp_replace(regexp_extract(url, '^[^:]*://([^?#]*)', 1), '/$', '') AS path FROM pages"}
 register("scan_prune", lambda s, d: _urls(s, d).select("id", tx.is_pruned(F.concat(F.when(F.col("id") % 5 == 0, "bazel-x/").when(F.col("id") % 7 == 0, "a/target/").otherwise(""), "path")).alias("pruned")),
-         f"SELECT id, len(list_filter(list_slice(string_split(p, '/'), 1, len(string_split(p, '/')) - 1), x -> x IN ({PRUNED_SQL}) OR starts_with(x, 'bazel-'))) > 0 AS pruned FROM (SELECT id, CASE WHEN id % 5 = 0 THEN 'bazel-x/' WHEN id % 7 = 0 THEN 'a/target/' ELSE '' END || path AS p FROM u_path)", _URLS)
+         f"SELECT id, len(list_filter(list_slice(string_split(p, '/'), 1, len(string_split(p, '/')) - 1), lambda x: x IN ({PRUNED_SQL}) OR starts_with(x, 'bazel-'))) > 0 AS pruned FROM (SELECT id, CASE WHEN id % 5 = 0 THEN 'bazel-x/' WHEN id % 7 = 0 THEN 'a/target/' ELSE '' END || path AS p FROM u_path)", _URLS)
 _SPECS = [("", ["*.html", "!*5.html", "www.*/"]), ("www.cheap-pills.example.com", ["!de/", "/de/6*"])]
 
 
@@ -498,5 +498,5 @@ def _include(spark, d):
     return _urls(spark, d).select("id", should_include(F.col("path"), options, [("", ignore.compile_lines(["www.*/"]))]).alias("included"))
 
 
-register("scan_include", _include, f"""SELECT id, CASE WHEN regexp_matches(path, '(^|/)1[^/]*(/|$)') THEN true WHEN len(list_filter(list_slice(string_split(path, '/'), 1, len(string_split(path, '/')) - 1), x -> x IN ({PRUNED_SQL}) OR starts_with(x, 'bazel-'))) > 0 THEN false
+register("scan_include", _include, f"""SELECT id, CASE WHEN regexp_matches(path, '(^|/)1[^/]*(/|$)') THEN true WHEN len(list_filter(list_slice(string_split(path, '/'), 1, len(string_split(path, '/')) - 1), lambda x: x IN ({PRUNED_SQL}) OR starts_with(x, 'bazel-'))) > 0 THEN false
  WHEN regexp_matches(path, '^(.*/)?www\\.[^/]*/') THEN false WHEN regexp_matches(path, '\\.html(/|$)') THEN false ELSE regexp_matches(path, '^[^/]*/en/') END AS included FROM u_path""", _URLS)
