@@ -120,6 +120,6 @@ def score(candidates: DataFrame, goal: str, of_file: bool = False) -> DataFrame:
     out = candidates.withColumns(named)
     total = F.round(reduce(lambda a, b: a + b, (F.col(c) for c in named)), 4)
     # a goal without relevance leaves no entry, as every other part does even at zero
-    pairs = F.map_from_entries(F.array(*(F.struct(F.lit(k), F.col(f"__{k}")) for k in parts), F.struct(F.lit("total"), F.col("score"))))
+    pairs = F.map_from_arrays(F.array(*map(F.lit, (*parts, "total"))), F.array(*(F.col(f"__{k}") for k in parts), F.col("score")))
     trace = F.map_filter(pairs, lambda k, v: (k != "goal_relevance") | (v != 0))
     return out.withColumn("score", total).withColumn("score_trace", trace).drop(*named)

@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodegraph.functions import text as tx
 from lodegraph.operators import anchors as an
-from lodegraph.operators import candidates as ca
-from lodegraph.operators import health, incremental, ranking, resolve, search, selection, traversal
+from lodegraph.operators import health, incremental, resolve, search, traversal
 from lodegraph.plans import adapters, duck
 from lodegraph.plans.duck import LANGUAGE, PRUNED_SQL, TESTS, assemble, snippet, tokens
 from lodegraph.sources import ignore
@@ -205,7 +204,8 @@ ANCHORS = {
 
 
 def lines(spark, d, g):
-    return an.line_anchor(adapters.requests(spark, d), g.file, g.node)
+    """Anchors of all requests; every family of candidates starts from them, so they are held (a row a request)."""
+    return an.line_anchor(adapters.requests(spark, d), g.file, g.node).persist()
 
 
 register("anchor_smallest_node", lambda s, d: lines(s, d, adapters.graph(s, d)), "SELECT * FROM g_anchor", ANCHORS)
