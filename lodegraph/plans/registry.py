@@ -500,3 +500,17 @@ def _include(spark, d):
 
 register("scan_include", _include, f"""SELECT id, CASE WHEN regexp_matches(path, '(^|/)1[^/]*(/|$)') THEN true WHEN len(list_filter(list_slice(string_split(path, '/'), 1, len(string_split(path, '/')) - 1), lambda x: x IN ({PRUNED_SQL}) OR starts_with(x, 'bazel-'))) > 0 THEN false
  WHEN regexp_matches(path, '^(.*/)?www\\.[^/]*/') THEN false WHEN regexp_matches(path, '\\.html(/|$)') THEN false ELSE regexp_matches(path, '^[^/]*/en/') END AS included FROM u_path""", _URLS)
+
+
+def _validated(spark, d):
+    """Documents' bytes, some with a NUL or a stray continuation byte put in."""
+    from lodegraph.sources.scan import validate
+
+    t = F.col("text").cast("binary")
+    spoilt = F.when(F.col("doc_id") % 9 == 0, F.concat(F.substring(t, 1, 40), F.lit(b"\x00"), t)).when(F.col("doc_id") % 9 == 1, F.concat(t, F.lit(b"\xff"))).otherwise(t)
+    v = validate(spoilt)
+    return adapters.table(spark, d, "documents").select("doc_id", v.alias("v")).select("doc_id", "v.code", "v.byte_offset")
+
+
+register("scan_validate", _validated, """SELECT doc_id, CASE doc_id % 9 WHEN 0 THEN 'binary_source' WHEN 1 THEN 'invalid_utf8' END AS code,
+ CAST(CASE doc_id % 9 WHEN 0 THEN least(strlen(text), 40) WHEN 1 THEN strlen(text) END AS BIGINT) AS byte_offset FROM documents""")

@@ -142,7 +142,7 @@ def _persist(store: Store, snapshot: int, files: DataFrame, known: DataFrame) ->
     """Ids follow the scan's order and the order of facts in a file; keys of facts become ids."""
     file = resolve.number(files.withColumn("bucket", F.substring("scan_key", 1, 64)), "bucket", ["scan_key"]).drop("bucket")
     store.write(file.select("id", "path", "language", "content_hash", "size_bytes", "line_count", "is_test", "is_generated", "is_vendor", "scan_key"), "file", snapshot)
-    store.write(file.select(F.col("id").alias("file_id"), F.decode("content", F.lit("UTF-8")).alias("text")).where("text IS NOT NULL"), "source", snapshot)
+    store.write(file.select(F.col("id").alias("file_id"), F.try_validate_utf8(F.col("content").cast("string")).alias("text")).where("text IS NOT NULL"), "source", snapshot)
     file = store.read("file", snapshot).select(F.col("id").alias("file_id"), "path")
     facts = known.select("path", F.from_json("facts_json", FACTS_TYPE).alias("f")).join(file, "path")
 

@@ -9,6 +9,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodegraph.functions import text as tx
 from lodegraph.sources import ignore
@@ -54,7 +55,7 @@ def describe(files: DataFrame) -> DataFrame:
     """(path, content) rows as file records; unsupported languages go. The walk's order is the column ``scan_key``."""
     path, content = F.col("path"), F.col("content")
     text = F.try_validate_utf8(content.cast("string"))
-    newlines = F.regexp_count(F.decode(content, F.lit("ISO-8859-1")), F.lit("\n"))
+    newlines = F.regexp_count(F.decode(content, "ISO-8859-1"), F.lit("\n"))
     size = F.octet_length(content)
     ends = F.substring(content, size, F.lit(1)) == F.lit(b"\n")
     return files.withColumn("language", tx.language_of(path)).where("language IS NOT NULL").select(
@@ -63,12 +64,18 @@ def describe(files: DataFrame) -> DataFrame:
     )
 
 
+def _empty_files(spark: SparkSession, base: str) -> DataFrame:
+    """Files without a byte, which the file source leaves out."""
+    found = [os.path.relpath(p, base).replace(os.sep, "/") for folder, _, names in os.walk(base) for p in (os.path.join(folder, n) for n in names) if os.path.isfile(p) and not os.path.getsize(p)]
+    return spark.createDataFrame([(p, b"") for p in found], "path string, content binary")
+
+
 def scan(spark: SparkSession, root: str, options: ScanOptions = ScanOptions()) -> DataFrame:
     """File records of a working tree on storage that the executors reach."""
     base = os.path.abspath(root).rstrip("/") + "/"
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load("file://" + base)
     relative = F.substring(F.regexp_replace("path", "^file:/+", "/"), len(base) + 1, 1 << 30)
-    rows = rows.select(relative.alias("path"), "content").where(should_include(F.col("path"), options, load_ignore_files(root, options)))
+    rows = rows.select(relative.alias("path"), "content").unionByName(_empty_files(spark, base)).where(should_include(F.col("path"), options, load_ignore_files(root, options)))
     return describe(rows)
 
 
@@ -93,6 +100,6 @@ def first_bad_byte(contents: Iterable[bytes]) -> list[tuple[str | None, int | No
     return out
 
 
-@F.pandas_udf("code string, byte_offset long")
+@F.pandas_udf(T.StructType([T.StructField("code", T.StringType()), T.StructField("byte_offset", T.LongType())]))
 def validate(contents: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(first_bad_byte(contents), columns=["code", "byte_offset"]).astype({"byte_offset": "Int64"})
