@@ -76,13 +76,13 @@ def length_histogram(docs: DataFrame, tokenizer: str | None = None, extra: int =
 
 def answer_limits(histogram: DataFrame, limits: list[int]) -> DataFrame:
     """Totals for given context limits, any numbers: documents longer than the limit, tokens kept and tokens cut."""
-    lim = histogram.sparkSession.createDataFrame([(int(x),) for x in limits], "n_limit long")
     longer = F.when(F.col("n_tokens") > F.col("n_limit"), F.col("n_docs")).otherwise(0)
+    asked = F.array(*(F.lit(int(x)) for x in limits)).cast("array<long>")
     return (
-        histogram.select("n_tokens", "n_docs").join(F.broadcast(lim))  # the limits are the caller's list
+        histogram.select("n_tokens", "n_docs", F.explode(asked).alias("n_limit"))
         .groupBy("n_limit")
         .agg(F.sum("n_docs").alias("n_docs"), F.sum(longer).alias("docs_longer"), F.sum(F.least("n_tokens", "n_limit") * F.col("n_docs")).alias("tokens_kept"), F.sum(F.col("n_tokens") * F.col("n_docs")).alias("tokens"))
-    )
+    )
 
 
 def quantile(histogram: DataFrame, q: float) -> int | None:

@@ -59,15 +59,14 @@ def unit(doc_id: Column, seed: str = SEED) -> Column:
 def _targets(cells: DataFrame, margin: str, target: float | Mapping[str, float]) -> DataFrame:
     """(key, share) over the keys of a margin that hold tokens; shares sum to one."""
     held = cells.groupBy(margin).agg(F.sum("mix_tokens").cast("double").alias("held")).where("held > 0")
-    total = held.agg(F.sum("held").alias("total"))
     if isinstance(target, Mapping):
         named = F.create_map(*(F.lit(x) for kv in target.items() for x in (kv[0], float(kv[1])))) if target else F.lit(None).cast("map<string,double>")
-        raw = F.coalesce(F.try_element_at(named, F.col(margin)), F.col("held") / F.col("total"))
-        sized = held.crossJoin(F.broadcast(total)).select(margin, raw.alias("raw"))  # one row
+        total = held.agg(F.sum("held")).first()[0] or 0.0
+        sized = held.select(margin, F.coalesce(F.try_element_at(named, F.col(margin)), F.col("held") / F.lit(total)).alias("raw"))
     else:
         sized = held.select(margin, F.pow("held", F.lit(float(target))).alias("raw"))
-    whole = sized.agg(F.sum("raw").alias("whole"))
-    return sized.crossJoin(F.broadcast(whole)).select(F.col(margin).alias("key"), (F.col("raw") / F.col("whole")).alias("share"))
+    whole = sized.agg(F.sum("raw")).first()[0] or 1.0
+    return sized.select(F.col(margin).alias("key"), (F.col("raw") / F.lit(whole)).alias("share"))
 
 
 def rake(cells: DataFrame, targets: Mapping[str, float | Mapping[str, float]], rounds: int = ROUNDS) -> DataFrame:
@@ -91,8 +90,8 @@ def rake(cells: DataFrame, targets: Mapping[str, float | Mapping[str, float]], r
 def probabilities(cells: DataFrame, targets: Mapping[str, float | Mapping[str, float]], rounds: int = ROUNDS) -> DataFrame:
     """(margins, mix_p): the probability of a document in each cell."""
     raked = rake(cells, targets, rounds).withColumn("ratio", F.when(F.col("mix_tokens") > 0, F.col("weight") / F.col("mix_tokens")))
-    top = raked.agg(F.max("ratio").alias("top"))
-    return raked.crossJoin(F.broadcast(top)).select(*MARGINS, F.coalesce(F.round(F.col("ratio") / F.col("top"), 9), F.lit(1.0)).alias("mix_p"))
+    top = raked.agg(F.max("ratio")).first()[0] or 1.0
+    return raked.select(*MARGINS, F.coalesce(F.round(F.col("ratio") / F.lit(top), 9), F.lit(1.0)).alias("mix_p"))
 
 
 TARGETS = {"mix_source": SOURCE_POWER, "mix_lang": LANG_SHARES, "mix_topic": TOPIC_SHARES}
