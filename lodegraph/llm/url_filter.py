@@ -76,22 +76,22 @@ def page_links(pages: DataFrame) -> DataFrame:
     href = F.regexp_extract(link, r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1)
     to = F.regexp_extract(meta, r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)", 1)
     both = pages.select(url.alias("source"), F.explode(F.array(href, to)).alias("target")).where("source IS NOT NULL AND target <> ''")
-    scheme = F.substring_index("source", "://", 1)
-    root = F.concat(scheme, F.lit("://"), host_of(F.col("source")))
-    folder = F.regexp_extract(path_of(F.col("source")), "^(.*/)", 1)
+    # each part a column of its own: inlined into every branch, the expressions outgrow a compiled method
+    both = both.withColumn("scheme", F.substring_index("source", "://", 1)).withColumn("host", host_of(F.col("source"))).withColumn("folder", F.regexp_extract(path_of(F.col("source")), "^(.*/)", 1))
+    root = F.concat("scheme", F.lit("://"), "host")
     whole = (
         F.when(F.col("target").rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), F.col("target"))
-        .when(F.startswith("target", F.lit("//")), F.concat(scheme, F.lit(":"), F.col("target")))
-        .when(F.startswith("target", F.lit("/")), F.concat(root, F.col("target")))
-        .when(F.startswith("target", F.lit("#")) | F.col("target").rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None))
-        .otherwise(F.concat(root, F.when(folder == "", "/").otherwise(folder), F.col("target")))
+        .when(F.startswith("target", F.lit("//")), F.concat("scheme", F.lit(":"), "target"))
+        .when(F.startswith("target", F.lit("/")), F.concat(root, "target"))
+        .when(F.col("target").rlike("^#|^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None))
+        .otherwise(F.concat(root, F.when(F.col("folder") == "", "/").otherwise(F.col("folder")), "target"))
     )
-    return both.select("source", whole.alias("target")).where("target IS NOT NULL")
+    return both.select("source", whole.alias("target"))
 
 
 def component_verdicts(links: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
     """(alias, spread): for every url that has an edge, what its component's explicit decisions give a member without a rule."""
-    keyed = links.select(alias_key(F.col("source")).alias("u"), alias_key(F.col("target")).alias("v"))
+    keyed = materialize(links, "links").select(alias_key(F.col("source")).alias("u"), alias_key(F.col("target")).alias("v"))
     members = connected_components(keyed)
     as_url = F.concat(F.lit("x://"), F.col("node"))
     ruled = materialize(members.select("node", "component", best_rule(host_of(as_url), path_of(as_url), rules)["verdict"].alias("verdict")), "members")
