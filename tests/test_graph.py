@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
+from lodegraph import cli
 from lodegraph.api import Engine, NotIndexed
 from lodegraph.functions import render
 from lodegraph.functions import text as tx
@@ -100,6 +101,15 @@ def test_context_bundles(indexed, tree, tmp_path):
         engine.context(tree, symbol="x", budget=0)
 
 
+def test_command_line(indexed, tree, spark):
+    engine, _ = indexed
+    ask = lambda *argv: cli.run(["--store", engine.store.root, "--repo", tree, *argv], spark)
+    assert ask("symbols", "Service")[1].split("\n")[0].split("\t")[1:4] == ["100", "type", "Service"]
+    assert "files: 8" in ask("health")[1] and ask("inspect-node", "999")[0] == 1
+    assert ask("context", "--symbol", "x", "--file", "y") == (1, "error: give a symbol or a file, not both")
+    assert ask("neighborhood", "nothing here")[0] == 1
+
+
 def test_incremental(indexed, tree):
     engine, first = indexed
     again = engine.index(tree)
