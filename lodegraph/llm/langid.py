@@ -26,6 +26,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -256,18 +257,29 @@ def train(sample: DataFrame) -> Model | None:
     return model
 
 
+def _slices(texts: pa.Array):
+    """(start, rows) of runs of rows with at most about ``SLICE`` bytes, one row at least."""
+    ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(texts), 0)))
+    at = 0
+    while at < len(texts):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE, side="right")))
+        yield at, stop - at
+        at = stop
+
+
 def predict(docs: DataFrame, model: Model | None, keep: list[str], prefix: str = "") -> DataFrame:
     """Columns ``keep`` of ``docs`` with lang_pred, score, entropy and rejected, their names after ``prefix``."""
     added = [prefix + c for c in ("lang_pred", "score", "entropy", "rejected")]
     held = docs.sparkSession.sparkContext.broadcast(model)
+    source = "text" if "text" in keep and docs.schema["text"].dataType.simpleString() == "string" else "__text"
 
     def run(batches):
         m = held.value
         lut = numbering(m.alphabet) if m else None
         for b in batches:
-            texts = b.column("__text")
-            for at in range(0, b.num_rows, 128):
-                part = texts.slice(at, 128).to_pylist()
+            texts = b.column(source)
+            for at, size in _slices(texts):
+                part = texts.slice(at, size).to_pylist()
                 if m:
                     names, score, entropy, rejected = m.predict(part, lut)
                 else:
@@ -277,7 +289,7 @@ def predict(docs: DataFrame, model: Model | None, keep: list[str], prefix: str =
                     [*keep, *added],
                 )
 
-    picked = docs.select(*keep, F.col("text").cast("string").alias("__text"))
+    picked = docs.select(*keep) if source == "text" else docs.select(*keep, F.col("text").cast("string").alias(source))
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields)
     kinds = ", ".join(f"`{c}` {k}" for c, k in zip(added, ("string", "double", "double", "boolean")))
     return picked.mapInArrow(run, f"{kept}, {kinds}")

@@ -16,9 +16,9 @@ from itertools import islice
 
 import numpy as np
 
-CACHE_WORDS = 800_000
+CACHE_WORDS = 350_000
 #: What stays when the cache is full: the words met first, among which the frequent ones are.
-KEEP_WORDS = 500_000
+KEEP_WORDS = 250_000
 #: Characters and strings that make a text's encoding more than that of its lower-cased words.
 _WHOLE = ("<|", "\x1c", "\x1d", "\x1e", "\x1f", "Σ", "İ")
 
