@@ -6,6 +6,11 @@ document's probability is its cell's final weight over its tokens, divided by th
 so the expected sample has the target shares and no probability exceeds one. A document is kept if a
 hash of its id falls below it, which is the same on every run and for any partitioning.
 
+The expected sample holds at least ``budget`` of the tokens that the targets admit. Where the largest
+ratio would make it smaller, the weights are scaled to the budget instead: cells whose weight would
+exceed their tokens are kept whole, and the others are raked to what is left of the targets. Such
+cells miss their targets, and nothing else pays for it.
+
 Targets of a margin are given as shares by key, or as a power: ``0.5`` means shares in proportion to
 the square root of the tokens. Keys without a target share their margin's rest as they are. Shares
 are rescaled over the keys that hold tokens.
@@ -31,8 +36,12 @@ from .common import drop_scratch, materialize
 
 ROUNDS = 6
 MARGINS = ("mix_source", "mix_lang", "mix_topic")
-#: Default targets. The sample's size is inverse to the largest ratio of target to held tokens in any cell, so they
-#: stay within a small factor of what a corpus holds; a margin far from it costs most of the corpus.
+#: Least expected share of the tokens in a sample. The SQL twin knows no full cells, so it holds where a sample without them
+#: is as large already (38 % of the tokens at least in the tables here).
+BUDGET = 1 / 3
+#: Rounds of filling cells; if some would still overflow then, the budget is met by one common factor.
+FILLS = 12
+#: Default targets, which need not suit a corpus: scarce keys miss theirs (see above).
 SOURCE_POWER = 0.7
 LANG_SHARES = {"en": 0.5, "de": 0.18, "fr": 0.18, "es": 0.14}
 TOPIC_SHARES = {"table": 0.03}
@@ -72,7 +81,13 @@ def _targets(cells: DataFrame, margin: str, target: float | Mapping[str, float])
 def rake(cells: DataFrame, targets: Mapping[str, float | Mapping[str, float]], rounds: int = ROUNDS) -> DataFrame:
     """Cells with ``weight``: tokens raked to every margin in turn. Cells without tokens get weight 0."""
     wanted = {m: materialize(_targets(cells, m, t), "targets") for m, t in targets.items()}
-    now = cells.withColumn("weight", F.col("mix_tokens").cast("double"))
+    now = _rounds(cells.withColumn("weight", F.col("mix_tokens").cast("double")), wanted, rounds)
+    for want in wanted.values():
+        drop_scratch(want)
+    return now
+
+
+def _rounds(now: DataFrame, wanted: Mapping[str, DataFrame], rounds: int) -> DataFrame:
     held = None
     for _ in range(rounds):
         for m, want in wanted.items():
@@ -82,16 +97,67 @@ def rake(cells: DataFrame, targets: Mapping[str, float | Mapping[str, float]], r
         now = materialize(now, "raked")
         drop_scratch(held)
         held = now
+    return now
+
+
+def _rake_rest(cells: DataFrame, targets: Mapping[str, DataFrame], budget: float, rounds: int) -> DataFrame:
+    """``weight`` of the cells that aren't full, raked to what the full ones leave of every target. A key keeps a hundredth of its own at least."""
+    full = F.sum(F.when(F.col("full"), F.col("mix_tokens")).otherwise(0)).cast("double")
+    left = budget - (cells.agg(full).first()[0] or 0.0)
+    wanted = {}
+    for m, want in targets.items():
+        sums = cells.groupBy(m).agg(full.alias("gone"), F.bool_or(~F.col("full") & (F.col("weight") > 0)).alias("open")).where("open")
+        goal = F.col("share") * F.lit(budget)
+        rest = sums.join(want, sums[m].eqNullSafe(want["key"])).select("key", F.greatest(goal - F.col("gone"), goal * 0.01).alias("raw"))
+        whole = rest.agg(F.sum("raw")).first()[0] or 1.0
+        wanted[m] = materialize(rest.select("key", (F.col("raw") * F.lit(left / whole)).alias("share")), "rest")
+    now = _rounds(cells.where("NOT full"), wanted, rounds)
     for want in wanted.values():
         drop_scratch(want)
-    return now
+    return now.unionByName(cells.where("full").withColumn("weight", F.col("mix_tokens").cast("double")))
+
+
+def fill(raked: DataFrame, targets: Mapping[str, float | Mapping[str, float]], budget: float, rounds: int = ROUNDS) -> DataFrame:
+    """``raked`` with weights that sum to ``budget`` tokens, none above its cell's tokens (see the module's head)."""
+    shares = {m: materialize(_targets(raked.select(*targets, "mix_tokens"), m, t), "targets") for m, t in targets.items()}
+    total = raked.agg(F.sum("weight")).first()[0]
+    now = materialize(raked.withColumn("weight", F.col("weight") * F.lit(budget / total)).withColumn("full", F.lit(False)), "filled")
+    for _ in range(FILLS):
+        over = ~F.col("full") & (F.col("weight") >= F.col("mix_tokens")) & (F.col("mix_tokens") > 0)
+        if not now.where(over).limit(1).count():
+            break
+        following = now.withColumn("full", F.col("full") | over)
+        following = materialize(_rake_rest(following, shares, budget, rounds), "filled")
+        drop_scratch(now)
+        now = following
+    for want in shares.values():
+        drop_scratch(want)
+    return _level(now.drop("full"), budget)
+
+
+def _level(cells: DataFrame, budget: float) -> DataFrame:
+    """Weights times the one factor with which, cut at the cells' tokens, they sum to ``budget``."""
+    low, high = 0.0, 1.0
+    held = lambda x: cells.agg(F.sum(F.least(F.col("weight") * F.lit(x), F.col("mix_tokens").cast("double")))).first()[0]
+    if abs(held(1.0) - budget) > 1e-9 * budget:
+        while held(high) < budget * (1 - 1e-9) and high < 1e12:
+            high *= 2
+        for _ in range(50):
+            mid = (low + high) / 2
+            low, high = (mid, high) if held(mid) < budget else (low, mid)
+            if high - low < 1e-9 * high:
+                break
+    return cells.withColumn("weight", F.least(F.col("weight") * F.lit(high), F.col("mix_tokens").cast("double")))
 
 
-def probabilities(cells: DataFrame, targets: Mapping[str, float | Mapping[str, float]], rounds: int = ROUNDS) -> DataFrame:
+def probabilities(cells: DataFrame, targets: Mapping[str, float | Mapping[str, float]], rounds: int = ROUNDS, budget: float = BUDGET) -> DataFrame:
     """(margins, mix_p): the probability of a document in each cell."""
     raked = rake(cells, targets, rounds).withColumn("ratio", F.when(F.col("mix_tokens") > 0, F.col("weight") / F.col("mix_tokens")))
-    top = raked.agg(F.max("ratio")).first()[0] or 1.0
-    return raked.select(*MARGINS, F.coalesce(F.round(F.col("ratio") / F.lit(top), 9), F.lit(1.0)).alias("mix_p"))
+    top, weight, admitted = raked.agg(F.max("ratio"), F.sum("weight"), F.sum(F.when(F.col("weight") > 0, F.col("mix_tokens")))).first()
+    least = budget * (admitted or 0)
+    if top and weight / top < least:
+        raked, top = fill(raked.drop("ratio"), targets, least, rounds).withColumn("ratio", F.when(F.col("mix_tokens") > 0, F.col("weight") / F.col("mix_tokens"))), 1.0
+    return raked.select(*MARGINS, F.coalesce(F.round(F.col("ratio") / F.lit(top or 1.0), 9), F.lit(1.0)).alias("mix_p"))
 
 
 TARGETS = {"mix_source": SOURCE_POWER, "mix_lang": LANG_SHARES, "mix_topic": TOPIC_SHARES}

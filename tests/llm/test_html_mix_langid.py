@@ -88,6 +88,21 @@ def test_mix_sql_twin(spark, small):
     assert sorted(tuple(r) for r in got.select(*want.columns).collect()) == sorted(map(tuple, want.itertuples(index=False)))
 
 
+def test_scarce_cells_dont_shrink_the_sample(spark):
+    cells = [("a", "en", "prose", 50_000), ("a", "de", "prose", 20_000), ("b", "fr", "prose", 18_000), ("b", "en", "table", 3_000), ("b", "es", "prose", 60), ("new", "en", "prose", 5), ("b", None, "brief", 0)]
+    df = spark.createDataFrame(cells, "mix_source string, mix_lang string, mix_topic string, mix_tokens long")
+    p = {tuple(r)[:3]: r.mix_p for r in mixing.probabilities(df, mixing.TARGETS).collect()}
+    assert len(p) == len(cells) and all(0 < x <= 1 for x in p.values())
+    assert p["b", "es", "prose"] == p["new", "en", "prose"] == p["b", None, "brief"] == 1.0
+    held = {c[:3]: p[c[:3]] * c[3] for c in cells}
+    assert math.isclose(sum(held.values()), mixing.BUDGET * sum(c[3] for c in cells), rel_tol=1e-6)  # 0.5 % of the tokens before
+    by = lambda k: sum(v for c, v in held.items() if c[1] == k)
+    rest = sum(mixing.LANG_SHARES[k] for k in ("en", "de", "fr"))
+    assert all(abs(by(k) / sum(held.values()) - mixing.LANG_SHARES[k] / rest) < 0.06 for k in ("en", "de", "fr"))
+    all_of_it = mixing.probabilities(df, mixing.TARGETS, budget=1.0).collect()
+    assert all(r.mix_p > 0.999999 for r in all_of_it)
+
+
 def slow_probability(counts, context, c, base):
     """Interpolated Kneser-Ney by its definition; counts: order -> {gram tuple: count}."""
     p = 1.0 / base
