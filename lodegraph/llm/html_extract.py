@@ -1,8 +1,11 @@
 """Main text of web pages by minimum-cut labelling.
 
 A page is read into blocks (the text between the starts and ends of block elements). Every block gets
-a cost for either label: a fixed log-odds for what the markup says outright (inside an article; inside
-a menu, advert, comment section...), plus the logit of a classifier over what the text looks like. The
+a cost for either label: bounded log-odds for what tags and class words around it hint (an article; a
+menu, advert, comment section...), plus the logit of a classifier over what the text looks like. A hint
+alone weighs less than text that looks like the opposite; nested hints of one kind add up to a bound,
+an inner one of the other kind replaces them. Words of a class name that say what a wrapper has or is
+filed under (has-sidebar, category-social, tag-search, comments-open) are no hints. The
 costs are the capacities between the block and the two terminals; neighbours in page order and
 neighbours under one parent are joined by smoothness edges that weaken with their distance in the
 tree. The minimum cut, by maximum flow, is the labelling of least total cost.
@@ -12,7 +15,8 @@ cut can do better), and its edges become costs of its neighbours; only what is l
 
 The classifier is a logistic regression with a Gaussian prior around plain starting weights, fitted
 here on blocks of a bounded sample of pages (about ``TRAIN_PAGES``), labelled by the markup: inside an
-article or main element against inside menus, footers, asides and forms. Markup is no feature of it.
+article or main element against inside menus, footers, asides and forms. It doesn't see the markup, or
+it would learn nothing else; what the markup hints is added with fixed weights.
 
 Text: character references decoded, white space inside a block one space, trimmed, empty blocks gone,
 blocks joined by one line feed in page order. A line break element is white space; the cells of a table
@@ -37,8 +41,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 TRAIN_PAGES = 1500
-#: Log-odds of what the markup says outright.
-MARKED = 6.0
+#: Log-odds of one hint of the markup, the bound of nested ones, and how much of the outer ones' stays. The text's logit goes up to ``LOOKS``.
+HINT, HINTS, KEPT = 3.0, 4.5, 0.5
+LOOKS = 4.0
+#: Log-odds of what isn't shown at all.
+HIDDEN = 12.0
 ADJACENT, SIBLING = 1.2, 0.8
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
@@ -65,7 +72,11 @@ _BAD_WORDS = frozenset(
 )
 _COMMENT_WORDS = frozenset("comment comments commentlist disqus replies respond commentform discussion".split())
 _HEADER_WORDS = frozenset(("header", "siteheader", "pageheader"))
-_GOOD_WORDS = frozenset("article articlebody content maincontent post postbody entry story storybody body text main".split())
+_GOOD_ROLES = frozenset("article articlebody main maincontent".split())
+
+#: First and last words of class names that say what an element has, is filed under or allows, not what it is.
+_ABOUT_FIRST = frozenset("has with without no not is js category cat tag tagged term topic author format status type single page template lang in".split())
+_ABOUT_LAST = frozenset("open opened closed enabled disabled on off yes no visible count true false".split())
 
 #: Weights to begin with, and the centre of the prior: bias, link share, log of the length, sentence marks, heading, paragraph, list item, short.
 START = np.array([-0.6, -4.0, 0.45, 1.0, 0.3, 0.8, -0.5, -0.4])
@@ -78,24 +89,35 @@ class Block:
     tag: str
     depth: int
     path: tuple[int, ...]
-    good: int  # depth of the innermost content mark, 0 for none
-    bad: int  # depth of the innermost boilerplate mark
-    sticky: bool  # inside comments or something hidden: no content mark inside changes that
+    hint: float  # log-odds of content by the markup around it
+    hidden: bool  # not shown
 
 
 @dataclass
 class _Frame:
     tag: str
     number: int
-    good: int
-    bad: int
-    sticky: bool
+    hint: float
+    hidden: bool
+    comments: bool  # inside comments no hint at content counts
+
+
+def role_words(value: str) -> set[str]:
+    """Words of the names in a class or id that say what the element is."""
+    out: set[str] = set()
+    for name in value.split():
+        parts = _TOKEN.findall(_CAMEL.sub(" ", name).lower())
+        if len(parts) > 1 and (parts[0] in _ABOUT_FIRST or parts[-1] in _ABOUT_LAST):
+            continue
+        out.update(parts)
+        out.update(w.lower() for w in re.split(r"[^A-Za-z]+", name))
+    return out
 
 
 @dataclass
 class _Reader:
     blocks: list[Block] = field(default_factory=list)
-    stack: list[_Frame] = field(default_factory=lambda: [_Frame("", 0, 0, 0, False)])
+    stack: list[_Frame] = field(default_factory=lambda: [_Frame("", 0, 0.0, False, False)])
     parts: list[str] = field(default_factory=list)
     links: list[str] = field(default_factory=list)
     in_link: int = 0
@@ -108,7 +130,7 @@ class _Reader:
         if text:
             top = self.stack[-1]
             linked = len(_SPACE.sub(" ", entities.unescape("".join(self.links))).strip())
-            self.blocks.append(Block(text, min(linked, len(text)), top.tag, len(self.stack) - 1, tuple(f.number for f in self.stack), top.good, top.bad, top.sticky))
+            self.blocks.append(Block(text, min(linked, len(text)), top.tag, len(self.stack) - 1, tuple(f.number for f in self.stack), top.hint, top.hidden))
         self.parts.clear()
         self.links.clear()
 
@@ -122,29 +144,29 @@ class _Reader:
         if self.stack[-1].tag in closes:
             self.stack.pop()
         above, depth = self.stack[-1], len(self.stack)
-        good, bad, sticky = above.good, above.bad, above.sticky
+        hidden, comments = above.hidden, above.comments
         words: set[str] = set()
         if attrs and "=" in attrs or "hidden" in attrs:
             for name, a, b, c in _ATTR.findall(attrs):
                 name, value = name.lower(), a or b or c
                 if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value)):
-                    bad, sticky = depth, True
+                    hidden = True
                 elif name in ("class", "id", "role", "itemprop"):
-                    for w in re.split(r"[^A-Za-z]+", value):
-                        words.update(_TOKEN.findall(_CAMEL.sub(" ", w).lower()))
-                        words.add(w.lower())
-        if words & _COMMENT_WORDS:
-            bad, sticky = depth, True
-        elif tag in ("body", "html"):
-            pass
-        elif tag in _GOOD_TAGS or words & {"article", "main", "articlebody", "maincontent"} and not words & _BAD_WORDS:
-            good = depth
-        elif tag in _BAD_TAGS or words & _BAD_WORDS or (tag == "header" or words & _HEADER_WORDS) and not good:
-            bad = depth
-        if tag in _GOOD_TAGS and words & _BAD_WORDS:
-            bad = depth
+                    words |= role_words(value)
+        says = 0
+        if tag not in ("body", "html"):
+            if words & _COMMENT_WORDS:
+                says, comments = -1, True
+            else:
+                bad = bool(tag in _BAD_TAGS or words & _BAD_WORDS or (tag == "header" or words & _HEADER_WORDS) and above.hint <= 0)
+                says = bool(tag in _GOOD_TAGS or words & _GOOD_ROLES) - bad
+            if comments:
+                says = min(says, 0)
+        hint = above.hint
+        if says:
+            hint = says * min(HINTS, HINT + KEPT * max(0.0, says * hint))
         self.numbers += 1
-        self.stack.append(_Frame(tag, self.numbers, good, bad, sticky))
+        self.stack.append(_Frame(tag, self.numbers, hint, hidden, comments))
 
     def close(self, tag: str) -> None:
         for k in range(len(self.stack) - 1, 0, -1):
@@ -193,12 +215,8 @@ def read_blocks(source: str) -> list[Block]:
 
 
 def marked(b: Block) -> int:
-    """1 for content, -1 for boilerplate, 0 where the markup doesn't say."""
-    if b.sticky:
-        return -1
-    if b.bad >= b.good and b.bad:
-        return -1
-    return 1 if b.good else 0
+    """1 where the markup hints at content, -1 at boilerplate, 0 where it doesn't say."""
+    return -1 if b.hidden else (b.hint > 0) - (b.hint < 0)
 
 
 def features(blocks: list[Block]) -> np.ndarray:
@@ -311,11 +329,25 @@ def _max_flow(rest: list[int], gain: list[float], near, label) -> dict[int, bool
             v = u
 
 
+def gains(blocks: list[Block], weights: np.ndarray) -> list[float]:
+    """What a block costs if it is labelled boilerplate, less what it costs as content."""
+    looks = np.clip(features(blocks) @ weights, -LOOKS, LOOKS)
+    return [-HIDDEN if b.hidden else b.hint + float(z) for b, z in zip(blocks, looks)]
+
+
+def undecided(gain: list[float], edges: list[tuple[int, int, float]]) -> tuple[int, int]:
+    """(blocks that some edges could turn, blocks whose label the cut does turn)."""
+    pull = [0.0] * len(gain)
+    for i, j, w in edges:
+        pull[i] += w
+        pull[j] += w
+    return sum(abs(g) < p for g, p in zip(gain, pull)), sum((g > 0) != x for g, x in zip(gain, min_cut(gain, edges)))
+
+
 def label_blocks(blocks: list[Block], weights: np.ndarray) -> list[bool]:
     if not blocks:
         return []
-    looks = np.clip(features(blocks) @ weights, -4, 4)
-    return min_cut([MARKED * marked(b) + 0.5 * float(z) if marked(b) else float(z) for b, z in zip(blocks, looks)], _edges(blocks))
+    return min_cut(gains(blocks, weights), _edges(blocks))
 
 
 def extract(source: str | None, weights: np.ndarray = START) -> str:

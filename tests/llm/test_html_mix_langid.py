@@ -30,6 +30,27 @@ def test_broken_and_empty_pages(spark):
     assert html_extract.main_text(df.limit(0)).collect() == []
 
 
+PROSE = "A sentence that says something, as sentences do, and goes on for a while before it ends. "
+
+
+FITTED = np.array([-1.16, -4.15, 0.33, -0.45, 2.35, 4.26, -0.65, 0.23])  # from 1,500 pages of sf0.1
+
+
+def test_text_and_neighbours_outweigh_the_markup():
+    body = "".join(f"<p>{PROSE * 3}{i}.</p>" for i in range(5))
+    for words in ("post category-legal tag-search", "category-social", "comments-open", "has-sidebar", "social", "single-post related"):
+        assert html_extract.extract(f"<article class='{words}'>{body}</article>").count(PROSE) == 15, words
+        assert html_extract.extract(f"<div class='{words}'>{body}</div>", FITTED).count(PROSE) == 15, words  # by its text alone
+    menu = "<nav>" + "".join(f"<li><a href=/{i}>Item {i}</a></li>" for i in range(6)) + "</nav>"
+    assert html_extract.extract(f"<article>{menu}{body}</article>").count("Item") == 0
+    assert "Item" not in html_extract.extract(f"{menu}<article class='category-menu'>{body}</article>")
+    # a weak block between prose follows its neighbours, though the markup says otherwise
+    gain = html_extract.gains(blocks := html_extract.read_blocks(f"<div><p>{PROSE * 3}</p><p class=share>{PROSE}</p><p>{PROSE * 3}</p></div>"), html_extract.START)
+    assert gain[1] < 0 and html_extract.label_blocks(blocks, html_extract.START) == [True] * 3
+    assert html_extract.undecided(gain, html_extract._edges(blocks))[1] == 1
+    assert html_extract.extract(f"<article><p hidden>{PROSE * 5}</p>{body}</article>").count(PROSE) == 15
+
+
 def test_min_cut_is_least():
     rng = random.Random(2)
     for _ in range(300):
