@@ -118,3 +118,23 @@ def test_edited_texts_stay_near(spark, small):
     long = [r for r in rows if r.n_chars > 1500]
     assert sum(r.near_edited for r in long) / len(long) > 0.35 > 5 * sum(r.near_next for r in long) / len(long)
     assert os.path.exists(small)
+
+
+def test_character_runs_against_plain_form(spark):
+    texts = ["", " \n", "a", "abcdefg", "abcdefgh", "x" * 50, "le  la\tun " * 9, "\U0001f600é中" * 9, "これは空白のない文章です。" * 3, "tail of it \x0b"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [(p.hash, p.position) for p in r.p] for r in winnowing.with_char_fingerprint(df, "text", "fp").select("doc_id", winnowing.positions(F.col("fp")).alias("p")).collect()}
+    runs = {t[i : i + winnowing.CHARS] for t in (" ".join(t.split()) for t in texts) if t for i in range(max(1, len(t) - winnowing.CHARS + 1))}
+    split = spark.createDataFrame([(r, list(r)) for r in runs], "run string, chars array<string>")
+    hash_of = {r.run: r.h for r in split.select("run", F.xxhash64("chars").bitwiseAND(F.lit(winnowing._HASHES)).alias("h")).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == plain(" ".join(t.split()), hash_of.__getitem__, winnowing.CHARS, winnowing.CHAR_WINDOW), t
+
+
+def test_short_and_unsegmented_texts_stay_near(spark):
+    words = "amber basket copper dolphin engine feather garden hollow island jacket kettle ladder marble needle orchard pepper quarry ribbon saddle timber".split()
+    short = [" ".join(words[(i * 7 + j * 3) % 20] for j in range(5 + i % 7)) for i in range(20)]
+    dense = ["".join(chr(0x4E00 + (i * 911 + j * 37) % 9000) for j in range(40 + i)) for i in range(20)]
+    for texts in (short, dense):
+        rows = winnowing.compare_edited(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+        assert len(rows) == 20 and min(r.near_edited for r in rows) > 0.1, sorted(r.near_edited for r in rows)  # 0 for nearly all by words
