@@ -1,7 +1,7 @@
 import hashlib
-import os
 
 import duckdb
+import xxhash
 from pyspark.sql import functions as F
 
 from lodegraph.llm import url_filter, winnowing
@@ -55,36 +55,50 @@ def test_url_sql_twin(spark, small):
     assert not any(x in df._jdf.queryExecution().toString() for x in ("Python", "Arrow", "Pandas"))
 
 
-def plain(words, hash_of, k=winnowing.K, w=winnowing.W):
-    if not words:
-        return []
-    grams = [hash_of(words[i : i + k]) for i in range(max(1, len(words) - k + 1))]
+def runs_of(text):
+    """Hash of every run of characters, by the definition: each run from its characters."""
+    text = "\x02" * (winnowing.CHARS - 1) + text
+    of = {c: xxhash.xxh64_intdigest(c, 42) for c in set(text)}
     out = []
-    for i in range(max(1, len(grams) - w + 1)):
-        window = range(i, min(i + w, len(grams)))
-        best = max(window, key=lambda j: (-grams[j], j))
-        if best not in out:
+    for i in range(len(text) - winnowing.CHARS + 1):
+        h = 0
+        for j, c in enumerate(text[i : i + winnowing.CHARS]):
+            h ^= of[c] << winnowing.SHIFT * (winnowing.CHARS - 1 - j) & (1 << 64) - 1
+        out.append(h - (h >> 63 << 64) >> 31)  # signed, the upper 33 bits
+    return out
+
+
+def plain(text):
+    """(hash, position) that any window chose, rightmost of equal ones."""
+    runs, out = runs_of(text), []
+    for i in range(max(1, len(runs) - winnowing.WINDOW + 1) if runs else 0):
+        window = range(i, min(i + winnowing.WINDOW, len(runs)))
+        best = max(window, key=lambda j: (-runs[j], j))
+        if not out or best != out[-1]:
             out.append(best)
-    return [(grams[i], i) for i in out]
+    return [(runs[i] & (1 << 33) - 1, i) for i in out]
+
+
+def alike(a, b):
+    a, b = {h for h, _ in a}, {h for h, _ in b}
+    return round(2 * len(a & b) / (len(a) + len(b)), 6) if a or b else 1.0
 
 
 def test_winnowing_against_plain_form(spark):
-    texts = ["", " \n", "one", "a b c d", "a b c d e", "x " * 50, "le  la\tun " * 9 + "fin", " ".join(f"w{i % 13}" for i in range(200)), "tail \x0b"]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = winnowing.with_fingerprint(df, "text", "fp").select("doc_id", winnowing.positions(F.col("fp")).alias("p")).collect()
-    hashes = {}
-    grams = {tuple(ws[i : i + 5]) for t in texts for ws in [t.split()] for i in range(max(1, len(ws) - 4))} - {()}
-    for g in grams:
-        hashes[g] = spark.range(1).select(F.xxhash64(F.array(*map(F.lit, g))).bitwiseAND(F.lit(winnowing._HASHES)).alias("h")).first().h if len(hashes) < 40 else None
-    for r in got:
-        ws = texts[r.doc_id].split()
-        runs = [tuple(ws[i : i + 5]) for i in range(max(1, len(ws) - 4))]
-        if all(hashes.get(g) is not None or g == () for g in runs):
-            assert [(p.hash, p.position) for p in r.p] == plain(ws, lambda g: hashes[tuple(g)]), texts[r.doc_id]
-    shared = "one two three four five six seven eight nine ten eleven twelve"
-    pair = spark.createDataFrame([(0, "zero " * 30 + shared), (1, shared + " other words follow here and go on for a while so that windows differ")], "doc_id long, text string")
-    a, b = (set(r.h) for r in winnowing.with_fingerprint(pair, "text", "fp").select(winnowing.hashes(F.col("fp")).alias("h")).collect())
-    assert a & b  # a run of W + K - 1 words always shares a hash
+    texts = ["", " \n", "a", "abc", "abcdefg", "abcdefgh", "x" * 50, "le  la\tun " * 9, "\U0001f600é中" * 9, "これは空白のない文章です。" * 3, "\x02tail of it \x0b", "ab" * 3000]
+    df = winnowing.with_fingerprint(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "text", "fp")
+    for r in df.select("doc_id", winnowing.render(F.col("fp")).alias("f"), winnowing.positions(F.col("fp")).alias("p")).collect():
+        want = plain(texts[r.doc_id])
+        assert (r.f, r.p) == ("".join(f"{h:09x}" for h, _ in want), [i for _, i in want]), texts[r.doc_id]
+
+
+def test_shared_runs_share_a_hash_at_known_positions():
+    shared = "0123456789a"  # CHARS + WINDOW - 1
+    for k in range(40):
+        a, b = "".join(chr(65 + (k * 7 + i * i) % 26) for i in range(k)) + shared + "zz" * k, "q" * (k % 5) + shared + str(k) * 9
+        first, second = dict(plain(a)), dict(plain(b))
+        at = [(first[h] - a.index(shared), second[h] - b.index(shared)) for h in first.keys() & second.keys()]
+        assert any(p == q for p, q in at), (a, b)
 
 
 def edit(text, following):
@@ -92,20 +106,30 @@ def edit(text, following):
     return text[: len(text) - half] + following[:half]
 
 
-def test_edited_neighbours(spark, monkeypatch):
+def chained(rows):
+    """Documents in order: descending id, null last, then a hash of the text."""
+    return sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), signed(xxhash.xxh64_intdigest(r[1] or "", 42)), r[1] or ""))
+
+
+def signed(x):
+    return x - (x >> 63 << 64)
+
+
+def test_edited_neighbours_against_plain_form(spark, monkeypatch):
     monkeypatch.setattr(winnowing, "RANGE_ROWS", 3)
-    texts = {9: "a b c d e f g h", 7: None, 5: "", 3: "é" * 7, 2: "one two three four five six seven", 1: "x", 40: "one two three four five six seven", -4: "last of all these words are", 11: "k l m n o p q", 12: "z" * 100_000}
-    rows = [(i, t, 0, "clash") for i, t in texts.items()] + [(None, "no id at all", 0, "x")]
-    got = winnowing.compare_edited(spark.createDataFrame(rows, "doc_id long, text string, n_chars long, h string")).collect()
-    order = sorted(texts, reverse=True)
-    chain = [(i, texts[i] or "") for i in order] + [(None, "no id at all")]
-    by = {r.doc_id: r for r in got}
-    assert len(got) == len(chain)
+    texts = {9: "a b c d e f g h", 7: None, 5: "", 3: "é" * 7, 2: "one two three four five six seven", 1: "x", 40: "one two three four five six seven", -4: "last of all these words are", 11: "k l m n o p q", 12: "z" * 100_000, 13: "ab", 14: "abcde"}
+    hot = [(77, f"text {i} of a repeated id {i * i}") for i in range(20)] + [(None, f"no id {i}") for i in range(20)] + [(8, "alike")] * 9
+    rows = [*texts.items(), *hot]
+    got = winnowing.compare_edited(spark.createDataFrame([(*r, 0, "clash") for r in rows], "doc_id long, text string, n_chars long, h string")).collect()
+    chain = chained(rows)
+    want = []
     for k, (i, t) in enumerate(chain):
-        e = edit(t, chain[(k + 1) % len(chain)][1])
-        assert (by[i].n_chars, by[i].edited_sha256) == (len(t), hashlib.sha256(e.encode()).hexdigest()), i
-        assert 0 <= by[i].near_edited <= 1 and 0 <= by[i].near_next <= 1
-    assert by[40].fingerprint == by[2].fingerprint != by[9].fingerprint and by[5].fingerprint == by[7].fingerprint == ""
+        t, following = t or "", chain[(k + 1) % len(chain)][1] or ""
+        e = edit(t, following)
+        f, g = plain(t), plain(e)
+        text = lambda x: "".join(f"{h:09x}" for h, _ in x)
+        want.append((i or -1, len(t), hashlib.sha256(e.encode()).hexdigest(), text(f), text(g), alike(f, g), alike(f, plain(following)), [p for _, p in f]))
+    assert sorted((r[0] or -1, *r[1:]) for r in got) == sorted(want)
     one = winnowing.compare_edited(spark.createDataFrame([(1, "just one here")], "doc_id long, text string")).first()
     assert one.near_next == 1.0 and one.edited_sha256 == hashlib.sha256(edit("just one here", "just one here").encode()).hexdigest()
     assert winnowing.compare_edited(spark.createDataFrame([], "doc_id long, text string")).collect() == []
@@ -117,18 +141,13 @@ def test_edited_texts_stay_near(spark, small):
     rows = df.collect()
     long = [r for r in rows if r.n_chars > 1500]
     assert sum(r.near_edited for r in long) / len(long) > 0.35 > 5 * sum(r.near_next for r in long) / len(long)
-    assert os.path.exists(small)
-
-
-def test_character_runs_against_plain_form(spark):
-    texts = ["", " \n", "a", "abcdefg", "abcdefgh", "x" * 50, "le  la\tun " * 9, "\U0001f600é中" * 9, "これは空白のない文章です。" * 3, "tail of it \x0b"]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r.doc_id: [(p.hash, p.position) for p in r.p] for r in winnowing.with_char_fingerprint(df, "text", "fp").select("doc_id", winnowing.positions(F.col("fp")).alias("p")).collect()}
-    runs = {t[i : i + winnowing.CHARS] for t in (" ".join(t.split()) for t in texts) if t for i in range(max(1, len(t) - winnowing.CHARS + 1))}
-    split = spark.createDataFrame([(r, list(r)) for r in runs], "run string, chars array<string>")
-    hash_of = {r.run: r.h for r in split.select("run", F.xxhash64("chars").bitwiseAND(F.lit(winnowing._HASHES)).alias("h")).collect()}
-    for i, t in enumerate(texts):
-        assert got[i] == plain(" ".join(t.split()), hash_of.__getitem__, winnowing.CHARS, winnowing.CHAR_WINDOW), t
+    table = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").collect()
+    chain, by = chained([tuple(r) for r in table]), {r.doc_id: r for r in rows}
+    for (i, t), (_, following) in zip(chain, chain[1:] + chain[:1]):
+        t, e = t or "", edit(t or "", following or "")
+        assert (by[i].n_chars, by[i].edited_sha256, by[i].near_edited, by[i].near_next) == (
+            len(t), hashlib.sha256(e.encode()).hexdigest(), alike(plain(t), plain(e)), alike(plain(t), plain(following or ""))
+        )
 
 
 def test_short_and_unsegmented_texts_stay_near(spark):
