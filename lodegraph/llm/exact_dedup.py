@@ -1,10 +1,15 @@
-"""Exact deduplication through a minimal perfect hash over the distinct digests.
+"""Exact deduplication through a minimal perfect hash over historical distinct digests.
 
-Texts are equal when they are identical after every character of ``[\\x20\\x09-\\x0D]`` is deleted.
-Their SHA-256 digests are split into shards of bounded size; each shard gets a minimal perfect hash
-(levels of collision-free bits, ranked), whose slots hold the full digest, the locator of the row
-that stays and the size of the group. A document finds its slot by the hash and is a member only if
-all 32 bytes agree; what is no member of the index is grouped separately.
+Texts are equal when they are identical after every character of ``[\\x20\\x09-\\x0D]`` is deleted. The SHA-256
+digests of historical documents are split into shards of bounded size; each shard gets a minimal perfect
+hash (levels of collision-free bits, ranked), whose slots hold the full digest, the locator of the row that
+stays and the size of the group. A document finds its slot by the hash and is a member, a repeat of
+history, only if all 32 bytes agree; nonmembers are grouped separately, by full digest.
+
+Where no history is given, ``HISTORY`` of the documents, drawn by a hash of id and text, are it: their
+digests are indexed, the others are looked up, repeats are taken into the slots they hit (one that
+beats the slot's row becomes its locator), nonmembers are grouped, and the index of both together, which is
+what the next documents would be looked up in, tells every row its group.
 
 Rows: null text counts as empty; an empty table gives an empty result; other columns of the input
 are ignored. Of equal texts the one with the most code points stays, then the smallest doc_id (a null
@@ -31,6 +36,8 @@ WHITE = b" \t\n\x0b\x0c\r"
 _CONTINUATION = bytes(range(0x80, 0xC0))
 SHARD_KEYS = 1 << 15
 SALT_ROWS = 1 << 16
+#: One document in so many is historical where no history is given.
+HISTORY = 2
 _GAMMA = 2.0
 _INDEX = "shard int, salt int, kind int, doc_id long, n_chars long, digest binary, bits binary, slots binary, keeps binary"
 
@@ -54,12 +61,24 @@ def digests(docs: DataFrame) -> DataFrame:
     return id_and_text(docs).withColumn("mark", text_mark()).mapInArrow(run, "doc_id long, mark long, n_chars long, digest binary")
 
 
+def _best(n_chars="n_chars", doc_id="doc_id"):
+    """Of equal texts the row that stays: most code points, then the smallest id, none last."""
+    return F.min(F.struct((-F.col(n_chars)).alias("less"), F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id")))
+
+
+def _winner(best: DataFrame) -> DataFrame:
+    return best.select("digest", F.col("best.id").alias("keep_id"), (-F.col("best.less")).alias("keep_chars"), "group_size")
+
+
 def winners(hashed: DataFrame) -> DataFrame:
     """One row per digest: keep_id, keep_chars, group_size. Combined map-side, so a hot digest is one row a task."""
-    best = F.min(F.struct((-F.col("n_chars")).alias("less"), F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id")))
-    return hashed.groupBy("digest").agg(best.alias("best"), F.count(F.lit(1)).alias("group_size")).select(
-        "digest", F.col("best.id").alias("keep_id"), (-F.col("best.less")).alias("keep_chars"), "group_size"
-    )
+    return _winner(hashed.groupBy("digest").agg(_best().alias("best"), F.count(F.lit(1)).alias("group_size")))
+
+
+def taken_in(history: DataFrame, repeats: DataFrame) -> DataFrame:
+    """``winners`` of history with the repeats found in its slots (looked-up rows) taken in."""
+    new = winners(repeats)
+    return _winner(history.unionByName(new).groupBy("digest").agg(_best("keep_chars", "keep_id").alias("best"), F.sum("group_size").alias("group_size")))
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -165,7 +184,7 @@ def lookup(hashed: DataFrame, index: DataFrame, n_shards: int) -> DataFrame:
         hashed.withColumn("shard", _shard(n_shards))
         .join(hot, "shard", "left")
         .select(
-            "shard", F.pmod(F.xxhash64("doc_id"), F.coalesce("n_salts", F.lit(1))).cast("int").alias("salt"), F.lit(1).alias("kind"),
+            "shard", F.pmod(F.xxhash64("doc_id", "mark"), F.coalesce("n_salts", F.lit(1))).cast("int").alias("salt"), F.lit(1).alias("kind"),
             "doc_id", "mark", "n_chars", "digest", *(F.lit(None).cast("binary").alias(c) for c in ("bits", "slots", "keeps")),
         )
     )
@@ -222,20 +241,25 @@ def exact_dedup(docs: DataFrame, history: tuple[DataFrame, int] | None = None) -
 
     ``history`` is an index and its number of shards, as ``build_index`` gave them for earlier
     documents: their members are repeats of an earlier winner and never kept; the others are grouped
-    among themselves. Without it, the index is built over the digests of ``docs`` itself, so every row
-    is a member of it.
+    among themselves. Without it, a part of ``docs`` is the history (see the module's head).
     """
     hashed = materialize(digests(docs), "digests")
-    if history is None:
-        best = materialize(winners(hashed), "winners")
-        n = n_shards_for(best.count())
-        found = lookup(hashed, materialize(build_index(best, n), "mph"), n)
-        mine = (F.col("doc_id").eqNullSafe(F.col("keep_id"))) & (F.col("n_chars") == F.col("keep_chars"))
-        return _one_kept(found.select("doc_id", "mark", "n_chars", "digest", "keep_id", "group_size", mine.alias("kept")))
-    found = materialize(lookup(hashed, *history), "looked-up")
-    repeats = found.where("member").select("doc_id", "mark", "n_chars", "digest", "keep_id", "group_size", F.lit(False).alias("kept"))
-    new = found.where("NOT member").select("doc_id", "mark", "n_chars", "digest")
-    return repeats.unionByName(exact_dedup_digests(new))
+    if history is not None:
+        found = materialize(lookup(hashed, *history), "looked-up")
+        repeats = found.where("member").select("doc_id", "mark", "n_chars", "digest", "keep_id", "group_size", F.lit(False).alias("kept"))
+        return repeats.unionByName(exact_dedup_digests(found.where("NOT member").select("doc_id", "mark", "n_chars", "digest")))
+    old = F.pmod(F.xxhash64(F.lit("history"), "doc_id", "mark"), F.lit(HISTORY)) == 0
+    known = materialize(winners(hashed.where(old)), "winners")
+    found = materialize(lookup(hashed.where(~old), *_indexed(known)).select("doc_id", "n_chars", "digest", "member"), "looked-up")
+    updated = taken_in(known, found.where("member")).unionByName(winners(found.where("NOT member")))
+    found = lookup(hashed, *_indexed(materialize(updated, "updated")))
+    mine = (F.col("doc_id").eqNullSafe(F.col("keep_id"))) & (F.col("n_chars") == F.col("keep_chars"))
+    return _one_kept(found.select("doc_id", "mark", "n_chars", "digest", "keep_id", "group_size", mine.alias("kept")))
+
+
+def _indexed(best: DataFrame) -> tuple[DataFrame, int]:
+    n = n_shards_for(best.count())
+    return materialize(build_index(best, n), "mph"), n
 
 
 def exact_dedup_digests(hashed: DataFrame) -> DataFrame:
@@ -247,7 +271,7 @@ def exact_dedup_digests(hashed: DataFrame) -> DataFrame:
 
 def _one_kept(rows: DataFrame) -> DataFrame:
     """Of candidate winners repeated under one doc_id, the first only. The window is over winners, of which a digest has few."""
-    w = Window.partitionBy("kept", "digest", F.when(~F.col("kept"), F.xxhash64("doc_id"))).orderBy("n_chars")
+    w = Window.partitionBy("kept", "digest", F.when(~F.col("kept"), F.xxhash64("doc_id", "mark"))).orderBy("n_chars")
     return rows.withColumn("kept", F.col("kept") & (F.row_number().over(w) == 1))
 
 
