@@ -4,19 +4,25 @@ Fingerprint: A-Z lower-cased, words ``[^\\x20\\x09-\\x0D]+``, 3-word shingles wi
 if fewer), XXH64 with seed 42 of each; a bit is set if it is set in over half the hashes. No word:
 zero. Two fingerprints link when at most ``RADIUS`` bits differ; components are the closure of that.
 
-Equal fingerprints are one to begin with, so copies cost nothing. Different ones that link agree in
-at least one of ``RADIUS + 1`` blocks of bits: each (block, value) is a cell, and cells are cut into
-tiles by population count. Tile pairs whose population counts differ beyond the radius are skipped;
-the others are compared whole with exclusive-or and bit counts in numpy. From a tile pair only a
-spanning forest of its links comes out, at most one edge a row, which loses no connection.
+Equal fingerprints are one to begin with, so copies cost nothing. Different ones are put in cells, then
+sorted by cell and population count and cut into tiles of ``TILE`` rows, at every size of a cell alike. A
+tile is compared whole, with exclusive-or and bit counts in numpy, with itself and the tiles after it that
+hold a part of its last cell; where the population counts of two tiles differ beyond the radius, that
+pair and all later ones of the cell are skipped. From a tile pair only a spanning forest of its links
+comes out if there are more links than rows, which loses no connection.
+
+Cells thin the tile pairs without losing one: fingerprints that link agree in at least one of
+``RADIUS + 1`` blocks of their bits, so a cell is a block's number and value (4 x 16 bits). Where more
+than ``FULL`` fingerprints share a cell, their other 48 bits are blocked once more (4 x 12) and, if need
+be, the 36 that are left (4 x 9); a fingerprint has four cells at each of these levels, so its copies don't
+grow with the table. A cell that is still full at the last level is streamed: no more of it is held
+than lies within the radius of a population count.
 
 Nulls and texts without words have fingerprint zero, linked like any other. An empty table gives an
-empty result. Rows repeated under one doc_id each get a row; a null doc_id has component null unless
-others share its component. Other columns are ignored.
+empty result. Rows repeated under one doc_id each get a row; rows without a doc_id link like others, and a
+component without any has component null. Other columns are ignored.
 
-Scale: texts are read once and never shuffled. Cells have at most 4 x 65,536 counts (a broadcast of
-that proven bound). A cell that holds a large share of all fingerprints is cut into tiles of
-``TILE`` rows, and its pairs of tiles go to different tasks.
+Scale: texts are read once and never shuffled; distinct fingerprints are, four times at the first level.
 """
 
 from __future__ import annotations
@@ -33,11 +39,14 @@ from .common import id_and_text, materialize, parallelism, text_mark
 from .components import connected_components
 
 RADIUS = 3
-TILE = 2048
+TILE = 64
 SHINGLE = 3
+#: Fingerprints a cell at which it is blocked once more, and bits of a block at each level.
+FULL = 4096
 _BLOCKS = RADIUS + 1
-_BITS = 64 // _BLOCKS
-_LOOP = 24
+_LEVELS = (16, 12, 9)
+#: Rows compared at once.
+_BUFFER = 1 << 16
 
 
 def fingerprint(text: bytes) -> int:
@@ -72,124 +81,122 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return id_and_text(docs).withColumn("mark", text_mark()).mapInArrow(run, "doc_id long, mark long, fp long")
 
 
-def _tiles(a: np.ndarray, b: np.ndarray | None, parent: dict[int, int]) -> None:
-    """Join linked members of ``a`` (and ``b``, if given: only across) in the forest ``parent``."""
-
-    def root(x: int) -> int:
-        while parent.setdefault(x, x) != x:
-            parent[x] = x = parent[parent[x]]
-        return x
-
-    left = a[np.argsort(np.bitwise_count(a), kind="stable")]
-    right = left if b is None else b[np.argsort(np.bitwise_count(b), kind="stable")]
-    lp, rp = np.bitwise_count(left).astype(int), np.bitwise_count(right).astype(int)
-    for i in range(0, len(left), 256):
-        one = left[i : i + 256]
-        for j in range(i if b is None else 0, len(right), 256):
-            two = right[j : j + 256]
-            if rp[j] - lp[min(i + 255, len(left) - 1)] > RADIUS or lp[i] - rp[min(j + 255, len(right) - 1)] > RADIUS:
-                continue
-            x, y = np.nonzero(np.bitwise_count(one[:, None] ^ two[None, :]) <= RADIUS)
-            if b is None and i == j:
-                x, y = x[x < y], y[x < y]
-            for p, q in zip(one[x].tolist(), two[y].tolist()):
-                p, q = root(p), root(q)
-                if p != q:
-                    parent[max(p, q)] = min(p, q)
-
-
-def _linked(cells: np.ndarray, sides: np.ndarray, fps: np.ndarray, out: list[tuple[np.ndarray, np.ndarray]]) -> None:
-    """Edges within whole cells, which come sorted: short ones by shifts over all at once, long ones by tiles."""
-    edges = np.flatnonzero(np.diff(cells)) + 1
-    starts, stops = np.concatenate(([0], edges)), np.concatenate((edges, [len(cells)]))
-    size = stops - starts
-    brief = np.repeat(size <= _LOOP, size)
-    for shift in range(1, min(_LOOP, len(cells))):
-        same = brief[shift:] & (cells[shift:] == cells[:-shift])
-        if not same.any():
+def _forest(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the links x - y those of a spanning forest."""
+    parent: dict[int, int] = {}
+
+    def root(v: int) -> int:
+        while parent.setdefault(v, v) != v:
+            parent[v] = v = parent[parent[v]]
+        return v
+
+    keep = []
+    for k, (p, q) in enumerate(zip(x.tolist(), y.tolist())):
+        p, q = root(p), root(q)
+        if p != q:
+            parent[q] = p
+            keep.append(k)
+    return x[keep], y[keep]
+
+
+def tile_links(cell: np.ndarray, pop: np.ndarray, fp: np.ndarray) -> tuple[list[tuple[np.ndarray, np.ndarray]], int, int]:
+    """Links within cells, of rows in order of cell and population count; how many tile pairs were compared and how many skipped."""
+    out, compared, skipped, n = [], 0, 0, len(fp)
+    for i in range(0, n, TILE):
+        stop = min(i + TILE, n)
+        last, most = cell[stop - 1], int(pop[stop - 1])
+        end = stop + int(np.searchsorted(cell[stop:], last, side="right"))  # of the tile's last cell
+        for j in range(i, end, TILE):
+            if j > i and int(pop[j]) - most > RADIUS:
+                skipped += -(-(end - j) // TILE)
+                break
+            compared += 1
+            two = slice(j, min(j + TILE, n))
+            near = (np.bitwise_count(fp[i:stop, None] ^ fp[None, two]) <= RADIUS) & (cell[i:stop, None] == cell[None, two])
+            x, y = np.nonzero(np.triu(near, 1) if i == j else near)
+            if len(x):
+                x, y = x + i, y + j
+                out.append(_forest(x, y) if len(x) > 2 * TILE else (x, y))
+    return out, compared, skipped
+
+
+def _cells(level: int) -> list:
+    """The cells of a row (cell, rest) at a level: number and value of each block of ``rest``, and the bits that are left."""
+    bits = _LEVELS[level]
+    mask = F.lit((1 << bits) - 1)
+    out = []
+    for k in range(_BLOCKS):
+        value = F.shiftrightunsigned("rest", bits * k).bitwiseAND(mask)
+        above = F.shiftrightunsigned(F.shiftrightunsigned("rest", bits * k), bits)  # in two steps: a shift by 64 is one by 0
+        left = F.shiftleft(above, bits * k).bitwiseOR(F.col("rest").bitwiseAND(F.lit((1 << bits * k) - 1)))
+        cell = F.shiftleft("cell", bits + 2).bitwiseOR(F.lit(k << bits)).bitwiseOR(value)
+        out.append(F.struct(cell.alias("cell"), left.alias("rest")))
+    return out
+
+
+def celled(distinct_fps: DataFrame) -> DataFrame:
+    """(level, cell, fp): every fingerprint in its cells, blocked further where a cell is full. ``distinct_fps``: a written table of ``fp``."""
+    rows = distinct_fps.select("fp", F.lit(0).cast("long").alias("cell"), F.col("fp").alias("rest"))
+    out = None
+    for level in range(len(_LEVELS)):
+        rows = rows.select("fp", F.explode(F.array(*_cells(level))).alias("c")).select("fp", "c.cell", "c.rest")
+        here = rows.select(F.lit(level).alias("level"), "cell", "fp")
+        full = None
+        if level + 1 < len(_LEVELS):
+            full = materialize(rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > FULL).select("cell"), "full-cells")
+            if not full.limit(1).count():
+                full = None
+        here = here if full is None else here.join(full, "cell", "left_anti").select("level", "cell", "fp")
+        out = here if out is None else out.unionByName(here)
+        if full is None:
             break
-        at = np.flatnonzero(same)
-        x, y, sx, sy = fps[at], fps[at + shift], sides[at], sides[at + shift]
-        near = (np.bitwise_count(x ^ y) <= RADIUS) & ((sx == 2) | (sx != sy))
-        out.append((x[near], y[near]))
-    for k in np.flatnonzero(size > _LOOP):
-        f, s = fps[starts[k] : stops[k]], sides[starts[k] : stops[k]]
-        parent: dict[int, int] = {}
-        if s[0] == 2:
-            _tiles(f, None, parent)
-        elif (s == 0).any() and (s == 1).any():
-            _tiles(f[s == 0], f[s == 1], parent)
-        pairs = [(c, p) for c, p in parent.items() if c != p]
-        if pairs:
-            out.append(tuple(np.array(pairs, np.uint64).T))
+        rows = rows.join(full, "cell", "left_semi")
+    return out
 
 
 def links(distinct_fps: DataFrame) -> DataFrame:
-    """(fa, fb): edges between different fingerprints whose closure is that of all links. ``distinct_fps``: a written table of ``fp``."""
-    spark = distinct_fps.sparkSession
-    cell = [F.shiftrightunsigned("fp", _BITS * k).bitwiseAND(F.lit((1 << _BITS) - 1)) + F.lit(k << _BITS) for k in range(_BLOCKS)]
-    celled = distinct_fps.select("fp", F.bit_count("fp").alias("pop"), F.explode(F.array(*cell)).alias("cell"))
-    # the hot cells only: those above a tile, cut by population count and then by hash
-    full = celled.groupBy("cell", "pop").agg(F.count(F.lit(1)).alias("n"))
-    hot = full.groupBy("cell").agg(F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("pop", F.ceil(F.col("n") / TILE).cast("int")))).alias("tiles")).where(F.col("n") > TILE)
-    rows = celled.join(F.broadcast(hot.select("cell", "tiles")), "cell", "left")  # at most 4 x 65,536 cells
-    cold = rows.where("tiles IS NULL").select("cell", F.lit(0).cast("long").alias("tile"), F.lit(2).alias("side"), "fp")
-    part = F.pmod(F.xxhash64("fp"), F.col("tiles")[F.col("pop")])
-    near = F.sequence(F.col("pop") - RADIUS, F.col("pop") + RADIUS)
-    others = F.flatten(F.transform(near, lambda p: F.transform(F.sequence(F.lit(1), F.coalesce(F.col("tiles")[p], F.lit(0))), lambda s: F.struct(p.alias("p"), (s - 1).cast("long").alias("s")))))
-    others = F.filter(others, lambda o: o["s"] >= 0)
-    hot_rows = rows.where("tiles IS NOT NULL").withColumn("part", part).select("cell", "fp", "pop", "part", F.explode(others).alias("o")).where("o.p BETWEEN 0 AND 64")
-    mine, theirs = F.struct("pop", "part"), F.struct(F.col("o.p").alias("pop"), F.col("o.s").alias("part"))
-    low, high = F.least(mine, theirs), F.greatest(mine, theirs)
-    side = F.when(mine == theirs, 2).when(mine == low, 0).otherwise(1)
-    hot_rows = hot_rows.select("cell", F.xxhash64(low, high).alias("tile"), side.alias("side"), "fp")
+    """(fa, fb): edges between different fingerprints whose closure is that of all links."""
+
+    def emit(cell, pop, fp):
+        found = tile_links(cell, pop, fp)[0]
+        if found:
+            x, y = (np.concatenate(c) for c in zip(*found))
+            yield pa.RecordBatch.from_arrays([pa.array(fp[x].view(np.int64)), pa.array(fp[y].view(np.int64))], ["fa", "fb"])
 
     def run(batches):
-        held: list[tuple[np.ndarray, ...]] = []
+        held, size, enough = [], 0, _BUFFER
         for b in batches:
-            cols = [b.column(c).to_numpy(zero_copy_only=False) for c in ("cell", "tile", "side", "fp")]
-            key = _key(cols[0], cols[1])
-            last = len(key) - 1
-            cut = int(np.searchsorted(key != key[last], False)) if key[0] == key[last] else int(np.flatnonzero(key != key[last])[-1]) + 1
-            if key[0] == key[last] and held and held[-1][0][-1] == key[0]:
-                held.append((key, cols[2], cols[3].view(np.uint64)))
+            cell, fp = b.column("cell").to_numpy() * len(_LEVELS) + b.column("level").to_numpy(), b.column("fp").to_numpy().view(np.uint64)
+            held.append((cell, np.bitwise_count(fp), fp))
+            size += len(fp)
+            if size < enough:
                 continue
-            held.append((key[:cut], cols[2][:cut], cols[3][:cut].view(np.uint64)))
-            yield from _emit(held)
-            held = [(key[cut:], cols[2][cut:], cols[3][cut:].view(np.uint64))]
-        yield from _emit(held)
-
-    grouped = cold.unionByName(hot_rows).repartition(parallelism(spark), "cell", "tile").sortWithinPartitions("cell", "tile")
-    return grouped.mapInArrow(run, "fa long, fb long").distinct()
-
-
-def _key(cell: np.ndarray, tile: np.ndarray) -> np.ndarray:
-    """One number for neighbours in sorted order: 0 for all cold rows of a cell, the tile's hash for hot ones."""
-    return (cell.astype(np.int64) << 40) ^ tile.astype(np.int64)
-
-
-def _emit(held):
-    parts = [h for h in held if len(h[0])]
-    if not parts:
-        return
-    out: list[tuple[np.ndarray, np.ndarray]] = []
-    _linked(*(np.concatenate(c) for c in zip(*parts)), out)
-    if out:
-        fa, fb = (np.concatenate(c).astype(np.uint64).view(np.int64) for c in zip(*out))
-        if len(fa):
-            yield pa.RecordBatch.from_arrays([pa.array(fa), pa.array(fb)], ["fa", "fb"])
+            cell, pop, fp = (np.concatenate(c) for c in zip(*held))
+            cut = int(np.searchsorted(cell, cell[-1]))  # the last cell may go on
+            if cut:
+                yield from emit(cell[:cut], pop[:cut], fp[:cut])
+            else:  # one cell: what is within the radius of rows to come is kept, and compared once more
+                yield from emit(cell, pop, fp)
+                cut = int(np.searchsorted(pop, int(pop[-1]) - RADIUS))
+            held, size = [(cell[cut:], pop[cut:], fp[cut:])], len(cell) - cut
+            enough = max(_BUFFER, 2 * size)
+        if size:
+            yield from emit(*(np.concatenate(c) for c in zip(*held)))
+
+    rows = celled(distinct_fps).repartition(parallelism(distinct_fps.sparkSession), "level", "cell")
+    return rows.sortWithinPartitions(F.col("cell") * len(_LEVELS) + F.col("level"), F.bit_count("fp"), "fp").mapInArrow(run, "fa long, fb long").distinct()
 
 
 def components(docs: DataFrame) -> DataFrame:
-    """doc_id, mark, fp, component_id for every row."""
+    """doc_id, mark, fp, and of its component the first row (component_id, component_mark), for every row."""
     prints = materialize(fingerprints(docs), "simhash")
-    reps = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "fingerprints")
-    found = links(reps)
-    a, b = reps.select(F.col("fp").alias("fa"), F.col("rep").alias("u")), reps.select(F.col("fp").alias("fb"), F.col("rep").alias("v"))
-    edges = found.join(a, "fa").join(b, "fb").select("u", "v")
-    members = connected_components(edges)
-    of_fp = reps.join(members, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return prints.join(of_fp, "fp").select("doc_id", "mark", "fp", "component_id")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("mark").alias("mark")))
+    reps = materialize(prints.groupBy("fp").agg(first.alias("first")), "fingerprints")
+    members = connected_components(links(reps.select("fp")).select(F.col("fa").alias("u"), F.col("fb").alias("v")))
+    of_fp = reps.join(members, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("component", "fp").alias("c"))
+    of_component = of_fp.groupBy("c").agg(F.min("first").alias("least"))
+    of_fp = of_fp.select("fp", "c").join(of_component, "c").select("fp", F.col("least.id").alias("component_id"), F.col("least.mark").alias("component_mark"))
+    return prints.join(of_fp, "fp").select("doc_id", "mark", "fp", "component_id", "component_mark")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -198,5 +205,6 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def decisions(docs: DataFrame) -> DataFrame:
-    """(doc_id, mark, kept) for ``keep_decided``: the smallest id of each component stays, and so do documents without an id."""
-    return components(docs).select("doc_id", "mark", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    """(doc_id, mark, kept) for ``keep_decided``: of each component the smallest id stays; of rows that share it or have none, the first by ``mark``."""
+    first = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("mark") == F.col("component_mark"))
+    return components(docs).select("doc_id", "mark", first.alias("kept"))
