@@ -1,4 +1,6 @@
 import hashlib
+import random
+import re
 
 import duckdb
 import xxhash
@@ -46,6 +48,60 @@ def test_decisions_spread_over_aliases(spark):
     assert got == {0: "block", 1: "block", 2: "block", 3: "allow", 4: "allow", 5: "allow", 6: "allow", 7: "block", 8: "block", 9: "block", 10: "allow", 11: "allow"}
 
 
+def test_links_are_read_like_a_browser_does(spark):
+    rows = [
+        ("http://a.org/x/y?q=1", "<!-- <link rel=canonical href=http://no.net/es/1> --><script>'<link rel=canonical href=http://no.net/es/2>'</script><title><link rel=canonical href=/no></title>"),
+        ("http://b.org/x/y?q=1", "<link rel='nofollow CANONICAL' href='http://x.net/es/?a=1&amp;b=2'><link href=\"../p\" rel=canonical><link rel=canonical href='./q/./r/..'>"),
+        ("http://c.org/x/y?q=1", "<link rel=canonical href='?z=&#x20ac;&#38;'><link rel=stylesheet href=/no><link rel=canonicalised href=/no><link data-rel=canonical href=/no>"),
+        ("http://d.org", "<link rel=canonical href=s><link rel=canonical href='//e.org/../../t/'><link rel=canonical href='mailto:x'><link rel=canonical href='#top'><link rel=canonical>"),
+        ("HTTP://F.org/a/b", "<META content='5; URL=\"/m/../n\"' http-equiv='Refresh'><meta http-equiv=refresh content=5><link rel=canonical href='/&#99999999;&#xd800;&bogus;'>"),
+        ("http://g.org/" + "x" * 100_000, "<link " + "a=b " * 50_000 + "rel=canonical href=/deep>" + "<!--" * 20_000), (None, "<link rel=canonical href=/no>"), ("nothing", "<link rel=canonical href=/no>"), ("http://h.org/", None),
+    ]
+    got = sorted((r.source.split("/")[2].lower(), r.target) for r in url_filter.page_links(pages(spark, rows)).where("target IS NOT NULL").collect())
+    assert got == sorted([
+        ("b.org", "http://x.net/es/?a=1&b=2"), ("b.org", "http://b.org/p"), ("b.org", "http://b.org/x/q/"), ("c.org", "http://c.org/x/y?z=€&"), ("d.org", "http://d.org/s"), ("d.org", "http://e.org/../../t/"),
+        ("f.org", "HTTP://f.org/n"), ("f.org", "HTTP://f.org/&"), ("g.org", "http://g.org/deep"),
+    ])
+
+
+def test_aliases_against_plain_form_and_sql(spark):
+    rng = random.Random(6)
+    urls = [f"http://{h}/{p}{i}" for i, (h, p) in enumerate((h, p) for h in ("a.org", "b.net", "c.com", "d.example.com") for p in ("", "es/", "fr/", "en/", "x?y="))] * 2
+    rows = []
+    for u in urls:
+        to = [rng.choice(urls) for _ in range(rng.choice((0, 0, 0, 1)))]
+        rows.append((u, "<body>" + "".join(f"<link rel=canonical href='{t.replace('&', '&amp;')}'>" for t in to) + "<!-- <link rel=canonical href=http://b.net/es/6> -->"))
+    rows += [("http://a.org/alone", "<link rel=canonical href='http://z.net/fr/9'>"), ("http://z.net/fr/9", None), ("http://q.org/2", "<link rel=canonical href='http://a.org/alone'>")]
+    urls += [u for u, _ in rows[-3:]]
+    df = pages(spark, rows)
+    edges = [(u, t) for u, h in rows for t in re.findall("href='([^']*)'", h or "")]
+    group = {u: {u} for u in urls}
+    for u, t in edges:
+        both = group[u] | group[t]
+        for x in both:
+            group[x] = both
+    own = {u: v for (u, _), v in zip(rows, [r.verdict if r.rule else None for r in url_filter.judge(df.withColumn("html", F.lit(None).cast("string"))).orderBy("page_id").collect()])}
+    want = []
+    for i, (u, _) in enumerate(rows):
+        said = {own[x] for x in group[u]}
+        want.append((i, own[u] or ("block" if "block" in said and "allow" not in said else "allow")))
+    got = url_filter.judge(df)
+    assert sorted((r.page_id, r.verdict) for r in got.collect()) == want and any(own[u] is None and v == "block" for (i, v), (u, _) in zip(want, rows))
+    con = duckdb.connect()
+    con.register("pages", df.toPandas())
+    assert sorted(con.sql(url_filter.oracle_sql()).fetchall()) == sorted(tuple(r) for r in got.select("page_id", "host", "path", "rule", "verdict").collect())
+
+
+def test_many_rules_are_joined(spark, monkeypatch):
+    rng = random.Random(7)
+    rules = [(h, "/" + "ab"[: rng.randint(0, 2)] * rng.randint(0, 2), rng.choice(("allow", "block"))) for h in ("com", "x.com", "y.x.com", "z.org", "org") for _ in range(4)]
+    rows = [(f"http://{h}/{''.join(rng.choice('abc') for _ in range(4))}", None) for h in ("com", "w.com", "x.com", "q.y.x.com", "ax.com", "z.org", "") for _ in range(6)] + [(None, None)]
+    inline = sorted(map(str, url_filter.judge(pages(spark, rows), rules).collect()))
+    monkeypatch.setattr(url_filter, "INLINE_RULES", 0)
+    columns = ["page_id", "host", "path", "rule", "verdict"]
+    assert sorted(map(str, url_filter.judge(pages(spark, rows), rules).select(columns).collect())) == inline
+
+
 def test_url_sql_twin(spark, small):
     con = duckdb.connect()
     con.sql(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{small}/pages.parquet')")
