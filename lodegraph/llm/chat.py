@@ -19,13 +19,15 @@ One row comes out for every call and for every result, found by a hash join on (
 * ``json``: the call with its result, keys sorted by code point, no white space, integers for whole numbers,
   UTF-8 unescaped.
 
-Null conv_id, turn or identifier links nothing. Empty text is an empty result. Unreadable ``tool_calls`` give one row with
-the problem ``unreadable``. Repeated rows are repeated calls or results. Empty tables give an empty
+Null conv_id, turn or identifier links nothing. Empty text is an empty result. Unreadable ``tool_calls``, among them such as hold
+numbers beyond a double or lone surrogates, give one row with the problem ``unreadable``, unreadable arguments the same
+problem. Repeated rows are repeated calls or results: of calls alike in every way one is the first. Empty tables give an empty
 result. Other columns are ignored.
 
 Scale: joins are on (conv_id, identifier), never on the conversation, so a conversation with a third of
-all messages is spread by its identifiers; first occurrences are combined map-side. A message is the
-only thing ever held whole.
+all messages is spread by its identifiers; first occurrences are combined map-side, and the hashed side of
+every join holds one row an identifier. JSON is read once and written as a table. A message is the only thing
+ever held whole.
 """
 
 from __future__ import annotations
@@ -37,6 +39,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 _CALLS = "conv_id long, turn long, seq int, call_id string, name string, arguments string, level int, problems string, outer_refs array<string>"
 _TYPES = {
     "object": lambda v: isinstance(v, dict), "array": lambda v: isinstance(v, list), "string": lambda v: isinstance(v, str), "boolean": lambda v: isinstance(v, bool), "null": lambda v: v is None,
@@ -63,8 +67,10 @@ def _no_constant(name: str):
 
 
 def loads(text: str):
-    """JSON without NaN and infinities."""
-    return json.loads(text, parse_constant=_no_constant)
+    """JSON without NaN, infinities (numbers beyond a double are such) and lone surrogates."""
+    v = json.loads(text, parse_constant=_no_constant)
+    canonical(v).encode()  # ValueError, of which a failed encoding is one
+    return v
 
 
 def violations(value, schema: Mapping, at: str = "$") -> list[str]:
@@ -187,28 +193,30 @@ def link(messages: DataFrame, schemas: Mapping[str, Mapping]) -> DataFrame:
         F.col("tool_calls").cast("string").alias("tool_calls"), F.col("tool_call_id").cast("string").alias("tool_call_id"),
     )
     calls = m.where("tool_calls IS NOT NULL").select("conv_id", "turn", "tool_calls").mapInArrow(parse, _CALLS)
-    by = ["conv_id", "call_id"]
-    first_call = calls.where("conv_id IS NOT NULL AND call_id IS NOT NULL AND turn IS NOT NULL").groupBy(*by).agg(F.min(F.struct("turn", "seq")).alias("at"))
+    names = calls.columns
+    calls = materialize(calls.groupBy(*names).agg(F.count(F.lit(1)).cast("int").alias("n")), "calls")
+    by, place = ["conv_id", "call_id"], F.struct("turn", "seq", "name", "arguments", "problems")
+    first_call = calls.where("conv_id IS NOT NULL AND call_id IS NOT NULL AND turn IS NOT NULL").groupBy(*by).agg(F.min(place).alias("at")).hint("shuffle_hash")
     results = m.where("tool_call_id IS NOT NULL").select("conv_id", F.col("tool_call_id").alias("call_id"), F.col("turn").alias("result_turn"), F.coalesce("text", F.lit("")).alias("result"))
     judged = results.join(first_call, by, "left").withColumn("late", F.coalesce(F.col("result_turn") > F.col("at.turn"), F.lit(False)))
-    taken = judged.where("late").groupBy(*by).agg(F.min(F.struct("result_turn", "result")).alias("r"), F.count(F.lit(1)).alias("n"))
+    taken = judged.where("late").groupBy(*by).agg(F.min(F.struct("result_turn", "result")).alias("r")).hint("shuffle_hash")
     # references to other messages must be to calls of earlier turns
-    asked = calls.where("size(outer_refs) > 0").select("conv_id", "turn", "seq", "call_id", F.explode("outer_refs").alias("ref"))
-    made = first_call.select("conv_id", F.col("call_id").alias("ref"), F.col("at.turn").alias("ref_turn"))
+    asked = calls.where("size(outer_refs) > 0").select(*names, F.explode("outer_refs").alias("ref"))
+    made = first_call.select("conv_id", F.col("call_id").alias("ref"), F.col("at.turn").alias("ref_turn")).hint("shuffle_hash")
     wrong = asked.join(made, ["conv_id", "ref"], "left").where("coalesce(ref_turn >= turn, true)")
-    wrong = wrong.select("conv_id", "turn", "seq", "call_id", F.concat(F.when(F.col("ref_turn").isNull(), "unknown_ref:").otherwise("later_ref:"), "ref").alias("ref"))
-    wrong = wrong.groupBy("conv_id", "turn", "seq", "call_id").agg(F.array_join(F.array_sort(F.collect_set("ref")), ",").alias("bad_refs"))
-    same = [calls[c].eqNullSafe(wrong[c]) for c in ("conv_id", "turn", "seq", "call_id")]
+    wrong = wrong.select(*names, F.concat(F.when(F.col("ref_turn").isNull(), "unknown_ref:").otherwise("later_ref:"), "ref").alias("ref"))
+    wrong = wrong.groupBy(*names).agg(F.array_join(F.array_sort(F.collect_set("ref")), ",").alias("bad_refs")).hint("shuffle_hash")
+    same = [calls[c].eqNullSafe(wrong[c]) for c in names]
     full = calls.join(wrong, same, "left").select(calls["*"], "bad_refs").join(first_call, by, "left").join(taken, by, "left")
-    own = F.struct("turn", "seq") == F.col("at")
-    is_own = F.coalesce(own, F.lit(False))
+    full = full.select("*", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy"))
+    is_own = F.coalesce(place.eqNullSafe(F.col("at")) & (F.col("copy") == 1), F.lit(False))
     of_calls = full.select(
         "conv_id", "turn", "seq", "call_id", "name", "level", "arguments",
         F.when(F.col("at").isNotNull() & ~is_own, "repeated_call").when(is_own & F.col("r").isNotNull(), "linked").otherwise("no_result").alias("status"),
         F.when(is_own, F.col("r.result_turn")).alias("result_turn"), F.when(is_own, F.col("r.result")).alias("result"),
         F.concat_ws(",", F.nullif("problems", F.lit("")), "bad_refs").alias("problems"),
     )
-    left = judged.join(taken.select(*by, F.col("r.result_turn").alias("taken_turn"), F.col("r.result").alias("taken_result")), by, "left")
+    left = judged.join(taken.select(*by, F.col("r.result_turn").alias("taken_turn"), F.col("r.result").alias("taken_result")).hint("shuffle_hash"), by, "left")
     # of results alike in every way one is the taken one: the others are counted off
     extra = left.groupBy("conv_id", "call_id", "result_turn", "result", "late", "taken_turn", "taken_result").agg(F.count(F.lit(1)).alias("n"))
     is_taken = F.coalesce(F.col("late") & (F.col("result_turn") == F.col("taken_turn")) & (F.col("result") == F.col("taken_result")), F.lit(False))
@@ -240,22 +248,38 @@ def link(messages: DataFrame, schemas: Mapping[str, Mapping]) -> DataFrame:
     )
 
 
+_ONE = {"type": "object", "required": ["$ref"]}
 REPLY_SCHEMAS = {
+    "search": {
+        "type": "object", "required": ["query"], "additionalProperties": False,
+        "properties": {"query": {"type": "string", "minLength": 1}, "limit": {"type": "integer", "minimum": 1}, "like": _ONE},
+    },
+    "rank": {"type": "object", "required": ["of"], "additionalProperties": False, "properties": {"of": _ONE}},
     "reply": {
-        "type": "object", "required": ["prompt", "turn"], "additionalProperties": False,
-        "properties": {"prompt": {"type": "string", "minLength": 1}, "turn": {"type": "integer", "minimum": 0}, "after": {"type": "object"}},
-    }
+        "type": "object", "required": ["prompt", "turn", "sources"], "additionalProperties": False,
+        "properties": {"prompt": {"type": "string", "minLength": 1}, "turn": {"type": "integer", "minimum": 0}, "sources": _ONE, "after": _ONE},
+    },
 }
 
 
 def as_tool_messages(conversations: DataFrame) -> DataFrame:
-    """Plain conversations as tool traffic: every user turn calls ``reply`` on its text, after the call two turns before;
-    every assistant turn is the result of the call one turn before; system turns are neither."""
-    name = lambda turn: F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("_"), turn.cast("string"))
-    after = F.when(F.col("turn") >= 2, F.struct(name(F.col("turn") - 2).alias("$ref")))
-    call = F.struct(name(F.col("turn")).alias("id"), F.lit("reply").alias("name"), F.struct(F.col("text").alias("prompt"), F.col("turn").alias("turn"), after.alias("after")).alias("arguments"))
+    """Plain conversations as tool traffic.
+
+    Every user turn calls ``reply`` on its text, the sources of which are what ``rank`` makes of a ``search`` (so three
+    calls to be put in order), after the reply two turns before; every assistant turn is the result of the reply
+    one turn before; system turns are neither. By a hash of the place one turn in eight each has a cycle,
+    a limit below its minimum, an unknown tool, an argument too many, and a repeated call.
+    """
+    name = lambda turn, what="": F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("_"), turn.cast("string"), F.lit(what))
+    ref = lambda turn, what="": F.struct(name(turn, what).alias("$ref"))
+    turn, kind = F.col("turn"), F.pmod(F.xxhash64("conv_id", "turn"), F.lit(8))
+    call = lambda tool, what, *args: F.struct(name(turn, what).alias("id"), tool.alias("name"), F.to_json(F.struct(*args)).alias("arguments"))
+    search = call(F.lit("search"), "s", F.col("text").alias("query"), F.when(kind == 1, 0).otherwise(10).alias("limit"), F.when(kind == 0, ref(turn, "k")).alias("like"))
+    rank = call(F.when(kind == 2, "sort").otherwise("rank"), "k", ref(turn, "s").alias("of"), F.when(kind == 3, 1).alias("extra"))
+    reply = call(F.lit("reply"), "", F.col("text").alias("prompt"), turn.alias("turn"), ref(turn, "k").alias("sources"), F.when(turn >= 2, ref(turn - 2)).alias("after"))
+    calls = F.when(kind == 5, F.array(reply, rank, search, search)).otherwise(F.array(reply, rank, search))
     return conversations.select(
         "conv_id", "turn", "role", "text",
-        F.when(F.col("role") == "user", F.to_json(F.array(call))).alias("tool_calls"),
-        F.when(F.col("role") == "assistant", name(F.col("turn") - 1)).alias("tool_call_id"),
+        F.when(F.col("role") == "user", F.to_json(calls)).alias("tool_calls"),
+        F.when(F.col("role") == "assistant", name(turn - 1)).alias("tool_call_id"),
     )

@@ -51,18 +51,67 @@ def test_levels_are_topological():
     assert chat.levels([{1, 2}, {2}, set(), {3}, {3, 0}]) == [2, 1, 0, -1, -1]
 
 
+def test_odd_json_is_unreadable_and_repeats_are_told_apart(spark):
+    one = calls(("a", "add", {"a": 1}))
+    rows = [
+        (1, 1, "assistant", None, '[{"id": "\\ud800", "name": "add"}]', None), (1, 2, "assistant", None, '[{"id": "x", "name": "add", "arguments": {"a": 1e999}}]', None),
+        (1, 3, "assistant", None, json.dumps([{"id": "y", "name": "add", "arguments": '{"a": "\\udfff"}'}]), None), (1, 4, "assistant", None, "[" * 100_000, None),
+        (1, 5, "assistant", None, '[{"id": "z", "name": "add", "arguments": {"a": ' + "9" * 5000 + "}}]", None), (1, 6, "assistant", None, "[1]", None),
+        (2, 1, "assistant", None, one, None), (2, 1, "assistant", None, one, None), (2, 1, "assistant", None, calls(("a", "add", {"a": 0})), None), (2, 2, "tool", "r", None, "a"),
+    ]
+    got = run(spark, rows)
+    assert [r.problems for r in sorted((r for r in got if r.conv_id == 1), key=lambda r: r.turn)] == ["unreadable"] * 6
+    assert sorted((r.status, json.loads(r.json)["arguments"]["a"]) for r in got if r.conv_id == 2) == [("linked", 0), ("repeated_call", 1), ("repeated_call", 1)]
+
+
+def plain(messages, schemas):
+    """(conv_id, turn, seq, call_id, level, status, result_turn, problems) by loops over one conversation at a time."""
+    out = []
+    for conv in {m.conv_id for m in messages}:
+        mine = sorted((m for m in messages if m.conv_id == conv), key=lambda m: m.turn)
+        first, taken, rows = {}, {}, []
+        for m in mine:
+            if m.tool_call_id is not None:
+                early = m.tool_call_id in first and first[m.tool_call_id][0] < m.turn
+                status = ("repeated_result" if m.tool_call_id in taken else "linked") if early else "orphan_result"
+                if status == "linked":
+                    taken[m.tool_call_id] = m.turn
+                else:
+                    out.append((conv, None, None, m.tool_call_id, None, status, m.turn, ""))
+            listed = json.loads(m.tool_calls) if m.tool_calls else []
+            ids = {c["id"] for c in listed}
+            needs = [{v["$ref"] for v in json.loads(c["arguments"]).values() if isinstance(v, dict)} for c in listed]
+
+            def depth(i, seen=()):
+                if i in seen:
+                    return None
+                below = [depth(k, (*seen, i)) for k, c in enumerate(listed) if c["id"] in needs[i] and [x["id"] for x in listed].index(c["id"]) == k]
+                return None if None in below else max((b + 1 for b in below), default=0)
+
+            for i, c in enumerate(listed):
+                level, args = depth(i), json.loads(c["arguments"])
+                bad = chat.violations(args, schemas[c["name"]]) if c["name"] in schemas else ["unknown_tool"]
+                bad += ["cycle"] if level is None else []
+                bad += sorted(("later_ref:" if r in first else "unknown_ref:") + r for r in needs[i] - ids if r not in first or first[r][0] >= m.turn)
+                rows.append([conv, m.turn, i, c["id"], -1 if level is None else level, "repeated_call" if c["id"] in first else "call", ",".join(bad)])
+                first.setdefault(c["id"], (m.turn, i))
+        for conv_, turn, i, call_id, level, status, bad in rows:
+            own = status == "call"
+            out.append((conv_, turn, i, call_id, level, ("linked" if call_id in taken else "no_result") if own else status, taken.get(call_id) if own else None, bad))
+    return sorted(map(str, out))
+
+
 def test_conversations_as_traffic(spark, small):
-    conv = spark.read.parquet(f"{small}/conversations.parquet")
-    got = chat.link(chat.as_tool_messages(conv), chat.REPLY_SCHEMAS).collect()
-    rows = {(r.conv_id, r.turn): r for r in conv.collect()}
-    users = [k for k, r in rows.items() if r.role == "user"]
-    answers = [k for k, r in rows.items() if r.role == "assistant"]
-    linked = {(r.conv_id, r.turn) for r in got if r.status == "linked"}
-    assert linked == {(c, t) for c, t in users if (c, t + 1) in rows and rows[c, t + 1].role == "assistant"}
-    assert len(got) == len(users) + sum((c, t - 1) not in linked for c, t in answers)
+    traffic = chat.as_tool_messages(spark.read.parquet(f"{small}/conversations.parquet"))
+    linked = chat.link(traffic, chat.REPLY_SCHEMAS)
+    assert "ShuffledHashJoin" in linked._jdf.queryExecution().toString()
+    got = linked.collect()
+    assert sorted(str((r.conv_id, r.turn, r.seq, r.call_id, r.level, r.status, r.result_turn, r.problems)) for r in got) == plain(traffic.collect(), chat.REPLY_SCHEMAS)
+    assert {r.level for r in got} >= {-1, 0, 1, 2} and {r.status for r in got} >= {"linked", "no_result", "repeated_call"}
+    assert {"cycle", "unknown_tool", "$.limit:minimum", "$.extra:additionalProperties"} <= {p for r in got for p in r.problems.split(",")}
+    texts = {(r.conv_id, r.turn): r.text for r in traffic.collect()}
     for r in got:
+        one = json.loads(r.json)
+        assert chat.canonical(one) == r.json and r.valid == (not r.problems)
         if r.status == "linked":
-            one = json.loads(r.json)
-            assert one["arguments"]["prompt"] == rows[r.conv_id, r.turn].text and one["result"] == rows[r.conv_id, r.turn + 1].text
-            before = rows.get((r.conv_id, r.turn - 2))
-            assert r.valid == (r.turn < 2 or (before is not None and before.role == "user"))
+            assert one["arguments"]["prompt"] == texts[r.conv_id, r.turn] and one["result"] == texts[r.conv_id, r.result_turn]
