@@ -1,7 +1,7 @@
 """Language identification by interpolated Kneser-Ney character models, one per language.
 
-Letters (lower-cased) are numbered; everything else is a word boundary, and runs of boundaries are
-one. Each language gets a model of order ``ORDER`` with absolute discounting: raw counts at the top
+Letters (lower-cased) are numbered, all that the sample has (codes of n-grams fit 64 bits up to ``LETTERS`` of them,
+beyond which the rarest would be one); everything else is a word boundary, and runs of boundaries are one. Each language gets a model of order ``ORDER`` with absolute discounting: raw counts at the top
 order, continuation counts (distinct left neighbours) below, interpolated down to uniform. The n-grams
 of all languages share sorted arrays of codes, in which a text's n-grams are found by binary search;
 beside each code stand the log probabilities under every language, so one search serves all. An
@@ -9,10 +9,11 @@ unseen n-gram falls back on its context's interpolation weight and the next lowe
 
 A text gets the language with the lowest cross-entropy per scored character. It is ``rejected`` if
 that cross-entropy exceeds what texts of the language have: the limit is calibrated on a held-back
-fifth of the training sample, as an excess over the mean that shrinks with the root of the length.
+fifth of the training sample, as an excess over the mean that shrinks with the root of the length. Of that
+fifth only language, length and cross-entropy come to the driver.
 
 The model is fitted on a bounded sample: about ``TRAIN_DOCS`` documents a language (all if there are
-fewer), picked by a hash of the id, whole texts; prediction covers every whole text and uses nothing
+fewer), picked by a hash of id and text, whole texts; prediction covers every whole text and uses nothing
 but the text. Null text or no letter: ``und``, score 0, rejected. No labelled row: every text is
 ``und``. Ties go to the first language in code order. Empty table: empty result. Repeated rows are
 predicted each. Other columns are ignored.
@@ -34,8 +35,7 @@ from .common import materialize
 
 ORDER = 4
 TRAIN_DOCS = 1500
-ALPHABET = 180
-MAX_LANGUAGES = 512
+LETTERS = 55_000
 #: Positions scored at once.
 SLICE = 1 << 18
 _GAP = ORDER - 1
@@ -59,7 +59,7 @@ def _classes() -> tuple[np.ndarray, np.ndarray]:
 def numbering(alphabet: list[int]) -> np.ndarray:
     """Code point -> number: 0 boundary, 1 other letter, 2... the alphabet's letters."""
     lower, letter = _classes()
-    own = np.zeros(0x110000, np.uint8)
+    own = np.zeros(0x110000, np.uint16)
     own[np.array(alphabet, np.int64)] = np.arange(2, 2 + len(alphabet))
     out = own[lower]
     out[letter & (out == 0)] = 1
@@ -178,35 +178,25 @@ class Model:
         names = [self.langs[b] if k else "und" for b, k in zip(best, n)]
         return names, score, np.where(n > 0, h[np.arange(len(h)), best], np.nan), rejected
 
-    def calibrate(self, texts: list[str], langs: list[str], lut: np.ndarray) -> None:
-        """Mean and largest excess of held-back texts under their own language's model."""
-        if not texts:
-            return
-        parts = [self.entropies(texts[k : k + 100], lut) for k in range(0, len(texts), 100)]
-        h, n = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-        own = np.array([self.langs.index(x) for x in langs])
+    def calibrate(self, own: np.ndarray, n: np.ndarray, h: np.ndarray) -> None:
+        """Mean and largest excess of held-back texts (number of the language, length, cross-entropy) under their own language's model."""
         for j in range(len(self.langs)):
             mine = (own == j) & (n > 0)
             if mine.sum() < 5:  # too few to say anything by themselves: all languages' texts together
                 mine = n > 0
             if mine.any():
-                at = h[mine, own[mine]]
-                self.mean[j] = np.average(at, weights=n[mine])
-                over = (at - self.mean[j]) * np.sqrt(np.minimum(n[mine], 400))
+                self.mean[j] = np.average(h[mine], weights=n[mine])
+                over = (h[mine] - self.mean[j]) * np.sqrt(np.minimum(n[mine], 400))
                 self.limit[j] = MARGIN * max(float(np.quantile(over, 0.999)), 1.0)
 
 
 def training_sample(docs: DataFrame, allowed: Column, lang_col: str = "lang", per_lang: int = TRAIN_DOCS) -> DataFrame:
     """About ``per_lang`` labelled documents of each language, and whether each is held back for calibration."""
     rows = docs.where(F.col("text").isNotNull() & F.col(lang_col).isNotNull() & allowed)
-    counted = rows.groupBy(F.col(lang_col).alias("lang")).count().limit(MAX_LANGUAGES + 1).collect()
-    if len(counted) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages; map them to fewer first")
-    share = F.lit(0.0)
-    for r in counted:
-        share = F.when(F.col(lang_col) == r["lang"], F.lit(min(1.0, per_lang / r["count"]))).otherwise(share)
-    unit = F.pmod(F.xxhash64(F.lit("langid"), "doc_id"), F.lit(1_000_003)) / 1_000_003
-    back = F.pmod(F.xxhash64(F.lit("calibrate"), "doc_id"), F.lit(5)) == 0
+    counted = materialize(rows.groupBy(F.col(lang_col).cast("string").alias("__of")).agg(F.count(F.lit(1)).alias("__n")), "languages")  # written: its size is known to the join
+    drawn = lambda seed, n: F.pmod(F.xxhash64(F.lit(seed), "doc_id", F.col("text").cast("string")), F.lit(n))
+    rows, share = rows.join(counted, F.col(lang_col).cast("string") == F.col("__of")), F.lit(per_lang) / F.col("__n")
+    unit, back = drawn("langid", 1_000_003) / 1_000_003, drawn("calibrate", 5) == 0
     return rows.where(unit < share).select(F.col("text").cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), back.alias("held_back"))
 
 
@@ -223,7 +213,7 @@ def train(sample: DataFrame) -> Model | None:
                 yield pa.RecordBatch.from_arrays([pa.array(cp, pa.int32()), pa.array(n, pa.int64())], ["cp", "n"])
 
     counted = sample.mapInArrow(letters, "cp int, n long").groupBy("cp").agg(F.sum("n").alias("n"))
-    alphabet = sorted(r.cp for r in counted.orderBy(F.desc("n"), "cp").limit(ALPHABET).collect())
+    alphabet = sorted(r.cp for r in counted.orderBy(F.desc("n"), "cp").limit(LETTERS).collect())
     if not alphabet:
         return None
     lut, base = numbering(alphabet), len(alphabet) + 2
@@ -252,8 +242,20 @@ def train(sample: DataFrame) -> Model | None:
         order = np.argsort(code[where])
         tops[lang] = (code[where][order], n[where][order])
     model = Model(alphabet, langs, tops)
-    held = [r for r in sample.where("held_back").collect() if r.lang in tops]  # a fifth of the bounded sample
-    model.calibrate([r.text for r in held], [r.lang for r in held], lut)
+    held = sample.sparkSession.sparkContext.broadcast(model)
+
+    def measure(batches):
+        m = held.value
+        for b in batches:
+            for at, size in _slices(b.column("text")):
+                langs = b.column("lang").slice(at, size).to_pylist()
+                own = np.array([m.langs.index(x) if x in tops_of else -1 for x in langs])
+                h, n = m.entropies(b.column("text").slice(at, size).to_pylist(), lut)
+                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array(n, pa.int64()), pa.array(h[np.arange(len(own)), own])], ["own", "n", "h"])
+
+    tops_of = set(tops)
+    seen = sample.where("held_back").mapInArrow(measure, "own int, n long, h double").where("own >= 0").toArrow()  # three numbers a row of the bounded sample
+    model.calibrate(*(seen[c].to_numpy() for c in ("own", "n", "h")))
     return model
 
 

@@ -225,3 +225,25 @@ def test_language_of_held_out_documents(spark, small):
     assert langid.identify(docs.limit(0)).collect() == []
     unlabelled = spark.createDataFrame([(1, "abc", None)], "doc_id long, text string, lang string")
     assert [(r.lang_pred, r.score) for r in langid.identify(unlabelled).collect()] == [("und", 0.0)]
+
+
+def test_many_letters_and_rare_scripts(spark):
+    rng = random.Random(9)
+    han, scripts = [chr(0x4E00 + i) for i in range(3000)], {"ka": range(0x10D0, 0x10F1), "hy": range(0x561, 0x587), "th": range(0xE01, 0xE2F)}
+    words = {lang: ["".join(rng.choice(han[at : at + 2000]) for _ in range(2)) for _ in range(1500)] for lang, at in (("zh", 0), ("ja", 1000))}
+    words |= {lang: ["".join(chr(rng.choice(cps)) for _ in range(4)) for _ in range(60)] for lang, cps in scripts.items()}
+    rows = [(i, " ".join(rng.choice(words[lang]) for _ in range(120)), lang) for i, lang in enumerate(list(words) * 40)]
+    rows += [(None, f"{rows[k][1]} {k}", rows[k][2]) for k in range(40)]  # one id, many texts
+    got = langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    lang = {i: x for i, _, x in rows}
+    held = [r for r in got if r.held_out]
+    assert len(held) > 20 and all(r.lang_pred == lang[r.doc_id] for r in held)
+
+
+def test_junk_is_rejected(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text", "lang")
+    rng = random.Random(3)
+    junk = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(1500)) for _ in range(20)] + ["όλοι οι άνθρωποι γεννιούνται ελεύθεροι και ίσοι στην αξιοπρέπεια " * 9] * 5
+    mixed = docs.unionByName(spark.createDataFrame([(10**6 + i, t, None) for i, t in enumerate(junk)], "doc_id long, text string, lang string"))
+    kept = {r.doc_id for r in langid.confident(mixed).select("doc_id").collect()}
+    assert sum(i >= 10**6 for i in kept) <= 2 and len(kept) >= 0.99 * docs.where("text IS NOT NULL").count()
