@@ -6,11 +6,14 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterable
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LOCAL_SCRATCH: str | None = None
+_SCOPES: list[list[DataFrame]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,18 +35,40 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _LOCAL_SCRATCH
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def materialize(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
-    This cuts lineage and survives lost executors, and it computes ``df`` once.
+    This cuts lineage and survives lost executors, and it computes ``df`` once. ``keep``: it outlives ``scratch_of``.
     """
     path = f"{shared_dir(df.sparkSession)}/lodegraph/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     back = df.sparkSession.read.schema(df.schema).parquet(path)
+    for scope in () if keep else _SCOPES:
+        scope.append(back)
     back._scratch_path = path  # for drop_scratch; not a public attribute of DataFrame
     return back
 
 
+def brief(batches: Iterable, rows: int = 512):
+    """Batches of at most ``rows`` rows, so that the texts of a few only are Python objects at a time."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
+@contextmanager
+def scratch_of(spark: SparkSession):
+    """Deletes, at its end, the tables that ``materialize`` wrote within: for callers that have written what they wanted of them."""
+    mine: list[DataFrame] = []
+    _SCOPES.append(mine)
+    try:
+        yield
+    finally:
+        _SCOPES.remove(mine)
+        for table in mine:
+            drop_scratch(table)
+
+
 def drop_scratch(df: DataFrame | None) -> None:
     """Delete a table that ``materialize`` wrote, once nothing reads it any more."""
     path = getattr(df, "_scratch_path", None)

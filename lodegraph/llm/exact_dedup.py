@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_and_text, materialize, parallelism, text_mark
+from .common import brief, id_and_text, materialize, parallelism, text_mark
 
 WHITE = b" \t\n\x0b\x0c\r"
 _CONTINUATION = bytes(range(0x80, 0xC0))
@@ -46,7 +46,7 @@ def digests(docs: DataFrame) -> DataFrame:
     """(doc_id, mark, n_chars, digest): code points of the text and SHA-256 of the text without white space."""
 
     def run(batches):
-        for b in batches:
+        for b in brief(batches):
             texts = [t or b"" for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [

@@ -37,6 +37,8 @@ from .common import materialize, parallelism
 from .tokens import default_tokenizer, encoder
 
 CAPACITY = 2048
+#: Pieces that are ranked together, about.
+PART_ROWS = 1 << 18
 GROUPS = 96
 #: Lengths up to this part of the capacity are small.
 SMALL = 1 / 8
@@ -326,4 +328,5 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset for every piece of every document."""
     cut = materialize(pieces(docs, tokenizer, capacity, end_id), "pieces")
     hist = {int(r[0]): int(r[1]) for r in cut.groupBy("length").count().collect()}  # at most ``capacity`` rows
-    return place(cut, plan_packing(hist, capacity), ["doc_id", "piece", "start", "ids_crc32"])
+    parts = max(parallelism(docs.sparkSession), -(-sum(hist.values()) // PART_ROWS))  # so that what is ranked together doesn't grow with the table
+    return place(cut, plan_packing(hist, capacity), ["doc_id", "piece", "start", "ids_crc32"], parts)

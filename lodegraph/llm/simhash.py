@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, materialize, parallelism, text_mark
+from .common import brief, id_and_text, materialize, parallelism, text_mark
 from .components import connected_components
 
 RADIUS = 3
@@ -74,7 +74,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, mark, fp): fp is the fingerprint's 64 bits as a signed long."""
 
     def run(batches):
-        for b in batches:
+        for b in brief(batches):
             fps = np.fromiter((fingerprint(t or b"") for t in b.column("text").to_pylist()), np.uint64, b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("mark"), pa.array(fps.view(np.int64))], ["doc_id", "mark", "fp"])
 
