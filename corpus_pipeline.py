@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lodegraph.llm import exact_dedup, langid, mixing, packing, simhash
-from lodegraph.llm.common import keep_decided, materialize, read_table
+from lodegraph.llm.common import drop_scratch, keep_decided, materialize, read_table, scratch_of
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +44,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
+    docs, before = read_table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        with scratch_of(spark):
+            rows = stage(spark, docs, sf_dir)
+            written = materialize(rows, f"stage-{name}", keep=True)
+        drop_scratch(before)
+        docs = before = written
     return docs
