@@ -86,7 +86,7 @@ class Engine:
 
     def context(self, repo: str, *, symbol: str | None = None, file: str | None = None, line: int | None = None, goal: str = "explain", budget: int = 8000, max_items: int | None = None, output_format: str = "markdown", output: str | None = None) -> str:
         """A bundle for a symbol, a line or a whole file, rendered and, if asked, written to a file."""
-        wrong = an.request_problem(goal, budget, symbol, file, line, max_items, output_format)
+        wrong = an.request_problem(goal, budget, symbol, file, line, max_items, output_format, output)
         if wrong:
             raise ValueError(wrong)
         g = self.graph(repo)
@@ -112,7 +112,7 @@ class Engine:
             origins = an.file_origins(requests, g.node, g.chunk)
             required = ca.outline(origins)
             each = origins.select("request_id", "file_id", "file_path", F.col("start_line").alias("line"), "node_id", "node_kind", "node_name", "qualified_name", "symbol_key", "start_line", "end_line")
-            parts = [ca.file_symbols(g, requests), ca.imports(g, anchors), _renumbered(ca.relationships(g, each)), _first_tests(ca.tests(g, each))]
+            parts = [ca.file_symbols(g, requests), ca.imports(g, anchors), _renumbered(ca.relationships(g, each)), ca.tests_of_origins(g, origins)]
             if goal == "call-neighborhood":
                 parts.append(_renumbered(ca.callers(g, each)))
             if goal == "failure-modes":
@@ -165,9 +165,3 @@ def _renumbered(df: DataFrame) -> DataFrame:
     """One order over the candidates of all of a file's origins."""
     w = search.Window.partitionBy("request_id").orderBy("ord", "edge_id")
     return df.withColumn("ord", F.row_number().over(w)).select(*ca.COLUMNS)
-
-
-def _first_tests(df: DataFrame) -> DataFrame:
-    """Related tests, each once, as many as two for every origin would be at most."""
-    w = search.Window.partitionBy("request_id").orderBy("file", "start_line", "chunk_id")
-    return df.dropDuplicates(["request_id", "chunk_id"]).withColumn("ord", F.row_number().over(w)).select(*ca.COLUMNS)

@@ -66,25 +66,29 @@ def symbol_anchor(node: DataFrame, file: DataFrame, chunk: DataFrame, query: str
 GOALS = ("explain", "failure-modes", "dependencies", "call-neighborhood")
 
 
-def request_problem(goal: str, budget: int, symbol: str | None, file: str | None, line: int | None, max_items: int | None, output_format: str) -> str | None:
+def request_problem(
+    goal: str, budget: int, symbol: str | None, file: str | None, line: int | None, max_items: int | None, output_format: str, output: str | None = None
+) -> str | None:
     """The first thing wrong with a request for context, or None."""
-    if goal not in GOALS:
-        return f"unsupported goal: {goal}"
-    if budget <= 0:
-        return "budget must be positive"
-    if max_items is not None and max_items <= 0:
-        return "max items must be positive"
-    if output_format not in ("markdown", "json", "text"):
-        return f"unsupported format: {output_format}"
-    if symbol is not None and (file is not None or line is not None):
-        return "give a symbol or a file, not both"
-    if symbol is not None and not symbol.strip():
-        return "symbol must not be blank"
-    if symbol is None and file is None:
-        return "give a symbol or a file"
-    if line is not None and line < 1:
-        return "line must be positive"
-    return None
+    rules = (
+        (goal not in GOALS, f"unsupported goal: {goal}"),
+        (output_format not in ("markdown", "json", "text"), f"unsupported format: {output_format}"),
+        (budget <= 0, "budget must be positive"),
+        (max_items is not None and max_items <= 0, "max items must be positive"),
+        (symbol is None and file is None, "give a symbol or a file"),
+        (symbol is not None and file is not None, "give a symbol or a file, not both"),
+        (symbol is not None and line is not None, "a line goes with a file, not with a symbol"),
+        (line is not None and line < 1, "line must be positive"),
+        (symbol is not None and not symbol.strip(), "symbol must not be blank"),
+        (output is not None and not _has_folder(output), f"no such folder for the output: {output}"),
+    )
+    return next((said for wrong, said in rules if wrong), None)
+
+
+def _has_folder(path: str) -> bool:
+    import os
+
+    return os.path.isdir(os.path.dirname(os.path.realpath(os.path.expanduser(path))))
 
 
 def relative_path(root: str, path: str) -> str | None:

@@ -139,12 +139,28 @@ def tests(g: Graph, anchors: DataFrame) -> DataFrame:
 
     The names asked for are few against the chunks, and a pattern has no equality key: Spark broadcasts them after checking their size.
     """
-    asked = anchors.where("node_name IS NOT NULL").select("request_id", F.lower("node_name").alias("needle"))
+    hits = _named_like(g, anchors.where("node_name IS NOT NULL").select("request_id", F.lower("node_name").alias("needle")))
+    return shape(hits.withColumn("ord", F.row_number().over(Window.partitionBy("request_id").orderBy("file", "start_line", "chunk_id"))), 6, "test.related")
+
+
+def _named_like(g: Graph, asked: DataFrame) -> DataFrame:
     low = lambda c: F.lower(F.coalesce(F.col(c), F.lit("")))
     rows = chunk_rows(g).where(F.col("is_test") | F.contains(F.lower("file"), F.lit("test")))
     like = lambda c: F.like(c, F.concat(F.lit("%"), "needle", F.lit("%")))
-    hits = rows.join(asked, like(F.lower("file")) | like(low("node_name")) | like(low("qualified_name")))
-    return shape(hits.withColumn("ord", F.row_number().over(Window.partitionBy("request_id").orderBy("file", "start_line", "chunk_id"))), 6, "test.related")
+    return rows.join(asked, like(F.lower("file")) | like(low("node_name")) | like(low("qualified_name")))
+
+
+def tests_of_origins(g: Graph, origins: DataFrame) -> DataFrame:
+    """As ``tests`` for every origin of a file: the first ``TESTS_PER_ORIGIN`` of each, a chunk once, in the origins' order.
+
+    Origins of one name have the same tests, so each name is looked up once.
+    """
+    named = origins.where("node_name IS NOT NULL").select("request_id", F.col("ord").alias("origin_ord"), F.lower("node_name").alias("needle"))
+    first = F.row_number().over(Window.partitionBy("needle").orderBy("file", "start_line", "chunk_id"))
+    hits = _named_like(g, named.select("needle").distinct()).withColumn("nth", first).where(F.col("nth") <= TESTS_PER_ORIGIN)
+    once = F.row_number().over(Window.partitionBy("request_id", "chunk_id").orderBy("origin_ord", "nth"))
+    rows = named.join(hits, "needle").withColumn("once", once).where("once = 1")
+    return shape(rows.withColumn("ord", F.row_number().over(Window.partitionBy("request_id").orderBy("origin_ord", "nth"))), 6, "test.related")
 
 
 def siblings(g: Graph, anchors: DataFrame) -> DataFrame:

@@ -82,6 +82,13 @@ TABLES = ANCHORS | {
  JOIN g_anchor a ON a.node_name IS NOT NULL AND (f.is_test OR contains(lower(f.path), 'test')) AND (lower(f.path) LIKE '%' || lower(a.node_name) || '%' OR lower(coalesce(x.name, '')) LIKE '%' || lower(a.node_name) || '%' OR lower(coalesce(x.qualified_name, '')) LIKE '%' || lower(a.node_name) || '%')) c""",
         request_id="c.request_id", family="6", ord="c.ord", kind="'test.related'", file="c.path", confidence="coalesce(c.xc, 0.7)", node_kind="c.xk", node_name="c.xn", qualified_name="c.xq", symbol_key="c.xs", **_OF_CHUNK,
     ),
+    "c_origin_test": _row(
+        f"""(SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY o_ord, nth) AS ord FROM (SELECT *, row_number() OVER (PARTITION BY request_id, id ORDER BY o_ord, nth) AS once FROM (
+ SELECT o.request_id, o.ord AS o_ord, c.*, f.path, x.kind AS xk, x.name AS xn, x.qualified_name AS xq, x.symbol_key AS xs, x.confidence AS xc, row_number() OVER (PARTITION BY o.request_id, o.node_id ORDER BY f.path, c.start_line, c.id) AS nth FROM {_CHUNK_NODE}
+ JOIN g_origin o ON o.node_name IS NOT NULL AND (f.is_test OR contains(lower(f.path), 'test')) AND (lower(f.path) LIKE '%' || lower(o.node_name) || '%' OR lower(coalesce(x.name, '')) LIKE '%' || lower(o.node_name) || '%' OR lower(coalesce(x.qualified_name, '')) LIKE '%' || lower(o.node_name) || '%'))
+ WHERE nth <= 2) WHERE once = 1) c""",
+        request_id="c.request_id", family="6", ord="c.ord", kind="'test.related'", file="c.path", confidence="coalesce(c.xc, 0.7)", node_kind="c.xk", node_name="c.xn", qualified_name="c.xq", symbol_key="c.xs", **_OF_CHUNK,
+    ),
     "c_sibling": _row(
         f"""(SELECT a.request_id, c.*, f.path, x.kind AS xk, x.name AS xn, x.qualified_name AS xq, x.symbol_key AS xs, x.confidence AS xc, row_number() OVER (PARTITION BY a.request_id ORDER BY {_NEAR}, c.start_line, c.id) AS ord FROM {_CHUNK_NODE} JOIN g_anchor a ON a.file_id = c.file_id) c""",
         request_id="c.request_id", family="7", ord="c.ord", kind="'sibling.definition'", file="c.path", confidence="coalesce(c.xc, 0.7)", node_kind="c.xk", node_name="c.xn", qualified_name="c.xq", symbol_key="c.xs", **_OF_CHUNK,
@@ -149,6 +156,7 @@ FILE_TABLES = TABLES | {
 
 register("file_origins", lambda s, d: _origins(s, d, adapters.graph(s, d)).select("request_id", "ord", "node_id", "node_kind", "start_line", "chunk_id"), "SELECT request_id, ord, node_id, node_kind, start_line, chunk_id FROM g_origin", FILE_TABLES)
 register("file_outline", lambda s, d: _show(ca.outline(_origins(s, d, adapters.graph(s, d)))), f"SELECT {_SQL_SHOWN} FROM f_outline", FILE_TABLES)
+register("cand_origin_tests", lambda s, d: _show(ca.tests_of_origins(adapters.graph(s, d), _origins(s, d, adapters.graph(s, d)))), f"SELECT {_SQL_SHOWN} FROM c_origin_test", FILE_TABLES)
 register(
     "file_symbols_capped", lambda s, d: ca.cap_symbols(ca.file_symbols(adapters.graph(s, d), adapters.requests(s, d))).select("request_id", "ord", "chunk_id", "capped"),
     "SELECT request_id, ord, chunk_id, ord > 8 AS capped FROM f_symbol", FILE_TABLES,

@@ -166,7 +166,8 @@ def _neighborhood(seed: int, depth: int, direction: str, limit: int, nodes: bool
     if nodes:
         sql = f"SELECT v.node_id, CAST(v.depth AS INTEGER) AS depth, x.kind, x.qualified_name, f.path AS file_path FROM n_v{depth} v JOIN g_node x ON x.id = v.node_id LEFT JOIN g_file f ON f.id = x.file_id"
     else:
-        sql = f"SELECT e.edge_id, CAST(e.depth AS INTEGER) AS depth, x.kind, x.src_node_id, x.dst_node_id, x.unresolved_dst FROM n_e{depth} e JOIN g_edge x ON x.id = e.edge_id"
+        # in order: DuckDB hangs over the join as it is when a LIMIT is put around it
+        sql = f"SELECT e.edge_id, CAST(e.depth AS INTEGER) AS depth, x.kind, x.src_node_id, x.dst_node_id, x.unresolved_dst FROM n_e{depth} e JOIN g_edge x ON x.id = e.edge_id ORDER BY e.edge_id"
     return query, sql, extra
 
 

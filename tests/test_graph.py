@@ -170,3 +170,16 @@ def test_works_without_the_training_data_package(tmp_path):
     subprocess.run(["rm", "-rf", str(tmp_path / "lodegraph/llm")], check=True)
     code = "import __spark_entry__ as e; q = e.queries(); assert 'fingerprint' in q and not any(k.startswith('op') for k in q) and 'pipeline' not in q"
     subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path, check=True, env=os.environ | {"PYTHONPATH": str(tmp_path)})
+
+
+def test_request_rules_come_in_order(tmp_path):
+    from lodegraph.operators.anchors import request_problem
+
+    asked = {"goal": "no", "output_format": "no", "budget": 0, "max_items": 0, "symbol": None, "file": None, "line": None, "output": f"{tmp_path}/none/x"}
+    said = []
+    for fix in ({"goal": "explain"}, {"output_format": "text"}, {"budget": 1}, {"max_items": 1}, {"symbol": "s", "file": "f", "line": 0}, {"file": None}, {"symbol": None, "file": "f"}, {"line": 1}, {"output": f"{tmp_path}/x"}):
+        said.append(request_problem(**asked))
+        asked |= fix
+    assert request_problem(**asked) is None
+    starts = ("unsupported goal", "unsupported format", "budget", "max items", "give a symbol or a file", "give a symbol or a file, not both", "a line goes", "line must", "no such folder")
+    assert len(said) == len(starts) and all(x.startswith(s) for x, s in zip(said, starts))
