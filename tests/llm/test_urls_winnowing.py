@@ -213,3 +213,33 @@ def test_short_and_unsegmented_texts_stay_near(spark):
     for texts in (short, dense):
         rows = winnowing.compare_edited(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
         assert len(rows) == 20 and min(r.near_edited for r in rows) > 0.1, sorted(r.near_edited for r in rows)  # 0 for nearly all by words
+
+
+def test_texts_around_stretches_against_plain_form(spark):
+    whole = "".join(chr(97 + (i * i * 7 + i // 5) % 26) for i in range(400))
+    near = [n + by for n in (winnowing.STRETCH, 2 * winnowing.STRETCH, 3 * winnowing.STRETCH) for by in range(-5, 9)]
+    texts = [whole[-n:] if n else "" for n in [*range(14), *near]] + ["y" * 300, "\U0001f600é" * 97]
+    chain = chained(list(enumerate(texts)))
+    docs = spark.createDataFrame(chain, "doc_id long, text string")
+    got = {r.doc_id: r for r in winnowing.compare_edited(docs).collect()}
+    one = {r.doc_id: (r.f, r.p) for r in winnowing.with_fingerprint(docs, "text", "fp").select("doc_id", winnowing.render(F.col("fp")).alias("f"), winnowing.positions(F.col("fp")).alias("p")).collect()}
+    for (i, t), (_, following) in zip(chain, chain[1:] + chain[:1]):
+        own, edited = plain(t), plain(edit(t, following))
+        want = "".join(f"{h:09x}" for h, _ in own), "".join(f"{h:09x}" for h, _ in edited), [p for _, p in own]
+        assert (got[i].fingerprint, got[i].edited_fingerprint, got[i].positions) == want and one[i] == (want[0], want[2]), (i, len(t))
+        assert (got[i].near_edited, got[i].near_next) == (alike(own, edited), alike(own, plain(following)))
+
+
+def test_characters_are_read_in_compiled_code(spark):
+    """No lambda over characters or runs; cutting is fused (a text isn't copied to every stretch), layers aren't (one method of them is too large)."""
+    docs = spark.createDataFrame([(1, "some text"), (2, None)], "doc_id long, text string")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = winnowing.compare_edited(docs)._jdf.queryExecution().executedPlan().toString().split("\n")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert not any("zip_with" in x or "xxhash64(lambda" in x for x in plan)
+    cuts, layers = [x for x in plan if "slice(chars" in x or "explode(sequence" in x], [x for x in plan if "shiftleft(h0" in x or "xxhash64(piece" in x]
+    assert len(cuts) == 2 and all(re.search(r"\*\(\d+\) (Project|Generate)", x) for x in cuts), cuts
+    assert len(layers) == 4 and not any(re.search(r"\*\(\d+\) Project", x) for x in layers), layers
+    assert any("SortAggregate" in x and "collect_list" in x for x in plan) and not any("ObjectHashAggregate" in x and "collect_list" in x for x in plan)
