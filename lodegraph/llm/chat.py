@@ -26,21 +26,24 @@ result. Other columns are ignored.
 
 Scale: joins are on (conv_id, identifier), never on the conversation, so a conversation with a third of
 all messages is spread by its identifiers; first occurrences are combined map-side, and the hashed side of
-every join holds one row an identifier. JSON is read once and written as a table. A message is the only thing
-ever held whole.
+every join holds one row an identifier. JSON is read once and written as a table. Python holds a message whole, and
+of a batch only slices of ``SLICE_ROWS`` rows or ``SLICE_BYTES`` of text (one message at least) as objects.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
 
+SLICE_ROWS, SLICE_BYTES = 1024, 4 << 20
 _CALLS = "conv_id long, turn long, seq int, call_id string, name string, arguments string, level int, problems string, outer_refs array<string>"
 _TYPES = {
     "object": lambda v: isinstance(v, dict), "array": lambda v: isinstance(v, list), "string": lambda v: isinstance(v, str), "boolean": lambda v: isinstance(v, bool), "null": lambda v: v is None,
@@ -174,12 +177,24 @@ def read_calls(text: str, schemas: Mapping[str, Mapping]) -> list[tuple]:
     return [(*row, sorted(r for r in need if r not in first)) for row, need in zip(rows, refs)]
 
 
+def slices(batches, *texts: str) -> Iterator[pa.RecordBatch]:
+    """Batches of at most ``SLICE_ROWS`` rows and, unless they are of one row, ``SLICE_BYTES`` in the columns ``texts``."""
+    for b in batches:
+        sizes = sum((pc.fill_null(pc.binary_length(b.column(c)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in texts), np.zeros(b.num_rows, np.int64))
+        ends, at = np.cumsum(sizes), 0
+        while at < b.num_rows:
+            fits = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE_BYTES, side="right"))
+            to = min(max(fits, at + 1), at + SLICE_ROWS)
+            yield b.slice(at, to - at)
+            at = to
+
+
 def link(messages: DataFrame, schemas: Mapping[str, Mapping]) -> DataFrame:
     """conv_id, turn, seq, call_id, name, level, status, result_turn, valid, problems, json."""
     held = json.loads(json.dumps(schemas))
 
     def parse(batches):
-        for b in batches:
+        for b in slices(batches, "tool_calls"):
             rows = []
             for conv, turn, text in zip(*(b.column(c).to_pylist() for c in ("conv_id", "turn", "tool_calls"))):
                 rows += [(conv, turn, s, i, n, a, lv, ",".join(p), out) for s, i, n, a, lv, p, out in read_calls(text, held)]
@@ -230,7 +245,7 @@ def link(messages: DataFrame, schemas: Mapping[str, Mapping]) -> DataFrame:
     rows = of_calls.unionByName(of_results)
 
     def write(batches):
-        for b in batches:
+        for b in slices(batches, "arguments", "result"):
             texts = []
             for call_id, name, args, result, status in zip(*(b.column(c).to_pylist() for c in ("call_id", "name", "arguments", "result", "status"))):
                 one = {"id": call_id, "status": status}

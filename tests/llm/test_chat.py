@@ -1,5 +1,7 @@
 import json
 
+import pyarrow as pa
+
 from lodegraph.llm import chat
 
 SCHEMAS = {"add": {"type": "object", "required": ["a"], "properties": {"a": {"type": "number"}, "b": {"type": "number", "minimum": 0}}, "additionalProperties": False}}
@@ -115,3 +117,24 @@ def test_conversations_as_traffic(spark, small):
         assert chat.canonical(one) == r.json and r.valid == (not r.problems)
         if r.status == "linked":
             assert one["arguments"]["prompt"] == texts[r.conv_id, r.turn] and one["result"] == texts[r.conv_id, r.result_turn]
+
+
+def test_large_batches_are_read_and_written_in_slices(spark, monkeypatch):
+    kind, fs = type(spark.range(1)), []
+    through = kind.mapInArrow
+    monkeypatch.setattr(kind, "mapInArrow", lambda self, f, schema: fs.append(f) or through(self, f, schema))
+    assert run(spark, []) == []
+    sizes = [10, 200_000, 9_000_000, None, *[50_000] * 120, *[10] * 3000]
+    texts = [n and calls((f"c{i}", "add", {"a": "x" * n})) for i, n in enumerate(sizes)]
+    n, kept = len(sizes), sum(x is not None for x in sizes)
+    read, write = fs
+    whole = pa.RecordBatch.from_pydict({"conv_id": [1] * n, "turn": list(range(n)), "tool_calls": pa.array([x or "[]" for x in texts], pa.string())})
+    out = list(read([whole.slice(3), whole.slice(0, 3), whole.slice(0, 0)]))
+    assert all(b.num_rows == 1 or b.nbytes < 6 << 20 for b in out) and len(out) > 4
+    seen = {c: json.loads(a)["a"] for b in out for c, a in zip(b.column("call_id").to_pylist(), b.column("arguments").to_pylist())}
+    assert seen == {f"c{i}": "x" * x for i, x in enumerate(sizes) if x is not None} and len(seen) == kept
+    rows = {c: pa.array([v] * n, pa.string()) for c, v in (("call_id", "c"), ("name", "add"), ("status", "linked"), ("problems", ""), ("arguments", None))}
+    rows["result"] = pa.array([x and "x" * x for x in sizes], pa.string())
+    out = list(write([pa.RecordBatch.from_pydict(rows)]))
+    assert all(b.num_rows == 1 or b.nbytes < 6 << 20 for b in out)
+    assert [len(json.loads(j).get("result", "")) for b in out for j in b.column("json").to_pylist()] == [x or 0 for x in sizes]
