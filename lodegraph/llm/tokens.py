@@ -1,9 +1,10 @@
 """Exact token ids of whole texts with a public word-level BPE, at the speed of a word cache.
 
 The tokenizer splits at white space before its merges, so the ids of a text are those of its words in
-turn. Each worker process keeps bounded caches from words to packed ids; texts for which words could
-be encoded differently from the whole (special tokens, a few control characters, final sigma, text
-that isn't in composed form) go through the tokenizer whole.
+turn; full stops and commas after letters count as words of their own. Each worker process keeps a
+bounded cache from words to packed ids; texts for which words could be encoded differently from the
+whole (special tokens, a few control characters, final sigma, text that isn't in composed form) go
+through the tokenizer whole.
 """
 
 from __future__ import annotations
@@ -21,6 +22,23 @@ CACHE_WORDS = 350_000
 KEEP_WORDS = 250_000
 #: Characters and strings that make a text's encoding more than that of its lower-cased words.
 _WHOLE = ("<|", "\x1c", "\x1d", "\x1e", "\x1f", "Σ", "İ")
+#: Marks that end words; after letters they are one piece, which an apostrophe may not be.
+_TAIL = ".,;:!?*#$&%\"()[]-"
+#: Texts whose words are looked up together.
+GROUP = 8
+
+
+def _apart(text: str) -> str:
+    """A space before full stops and commas that follow a letter, a number or white space, so that the word is the same with and without.
+
+    There a piece ends anyway; inside a run of other marks it wouldn't, so such texts stay as they are.
+    """
+    for mark in ".,":
+        if mark in text:
+            before = text.split(mark)[:-1]
+            if all(p[-1:].isalnum() or p[-1:].isspace() for p in before):
+                text = text.replace(mark, " " + mark)
+    return text
 
 
 def default_tokenizer() -> str:
@@ -54,18 +72,19 @@ class WordEncoder:
             if w.isalpha():  # letters only: one piece
                 new.add(w)
             else:
-                head = w[:-1]
-                split[w] = ps = (head, w[-1]) if w[-1] in ".," and head.isalpha() else self.parts(w)
+                head = w.rstrip(_TAIL)
+                split[w] = ps = (head, w[len(head) :]) if head.isalpha() and head != w else self.parts(w)
                 new.update(ps)
-        new = sorted(new.difference(known))
-        for at in range(0, len(new), 512):
-            self._learn_pieces(new[at : at + 512])
+        new = list(new.difference(known))
+        for at in range(0, len(new), 128):
+            self._learn_pieces(new[at : at + 128])
         get = known.__getitem__
-        known.update((w, b"".join(map(get, ps))) for w, ps in split.items())
+        for w, ps in split.items():
+            known[w] = b"".join(map(get, ps))
 
     def _learn_pieces(self, new: list[str]) -> None:
         """One call for many pieces: each piece's last id, and no other, is that of a word end."""
-        ids = np.array(self.tokenizer.encode(" ".join(new), add_special_tokens=False).ids, "<u4")
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, "<u4")
         cuts = np.flatnonzero(self.ends[ids]) + 1
         if len(cuts) != len(new) or cuts[-1] != len(ids):
             self.words.update(zip(new, self._direct(new)))
@@ -86,22 +105,16 @@ class WordEncoder:
         if whole:
             for i, ids in zip(whole, self._direct([texts[i] for i in whole])):
                 out[i] = ids
-        for start in range(0, len(plain), 32):
-            group = [(i, texts[i].lower().split()) for i in plain[start : start + 32]]
+        for start in range(0, len(plain), GROUP):
+            group = [(i, _apart(texts[i].lower()).split()) for i in plain[start : start + GROUP]]
             if len(self.words) > CACHE_WORDS:
                 self.words = dict(islice(self.words.items(), KEEP_WORDS))
-            get, missing, open_ = self.words.get, set(), []
-            for i, ws in group:
-                ids = list(map(get, ws))
-                if None in ids:
-                    missing.update(w for w, x in zip(ws, ids) if x is None)
-                    open_.append((i, ws))
-                else:
-                    out[i] = b"".join(ids)
+            missing = set().union(*(ws for _, ws in group)).difference(self.words)
             if missing:
                 self._learn(missing)
-                for i, ws in open_:
-                    out[i] = b"".join(map(get, ws))
+            get = self.words.__getitem__
+            for i, ws in group:
+                out[i] = b"".join(map(get, ws))
         return out
 
 

@@ -27,6 +27,17 @@ def test_word_cache_gives_the_tokenizers_ids(spark, small):
         assert [np.frombuffer(x, "<u4").tolist() for x in enc.encode(texts)] == plain(texts)
 
 
+def test_words_are_learned_once_whatever_mark_ends_them():
+    enc = WordEncoder(default_tokenizer())
+    texts = ["ngsha, ngsha. ngsha ndheon ndheon.", "ndheon, ngsha.***"]
+    assert [np.frombuffer(x, "<u4").tolist() for x in enc.encode(texts)] == plain(texts)
+    assert set(enc.words) == {"ngsha", "ndheon", ",", ".", ".***"}
+    rng = random.Random(3)
+    parts = [*"ab.,.,'  1$#!é\n\t<\"()-_\u0301\u00a0\u2003\u0085½Ⅷ٣日ß", "don't", "'s", "...", ".***", ",.", "x.,y", "1.5,2", "'.", "!,", "́,"]
+    odd = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 30))) for _ in range(5000)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in enc.encode(odd)] == plain(odd)
+
+
 def test_histogram_against_plain_counts(spark):
     lengths = [len(x) for x in plain(TEXTS)]
     hist = length_histogram.length_histogram(docs(spark))
