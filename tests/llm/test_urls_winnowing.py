@@ -243,3 +243,11 @@ def test_characters_are_read_in_compiled_code(spark):
     assert len(cuts) == 2 and all(re.search(r"\*\(\d+\) (Project|Generate)", x) for x in cuts), cuts
     assert len(layers) == 4 and not any(re.search(r"\*\(\d+\) Project", x) for x in layers), layers
     assert any("SortAggregate" in x and "collect_list" in x for x in plan) and not any("ObjectHashAggregate" in x and "collect_list" in x for x in plan)
+
+
+def test_a_task_holds_few_ranges_whatever_the_partitions(spark, monkeypatch):
+    """Too much in one task is spilled; up to 32 ranges, about 16,000 documents, were one task's where a session has few partitions."""
+    monkeypatch.setattr(winnowing, "RANGE_ROWS", 5)
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(1000)], "doc_id long, text string")
+    tasks = winnowing._with_next(docs).rdd.getNumPartitions()
+    assert tasks >= 1000 // 5 // 4, tasks
