@@ -183,3 +183,18 @@ def test_request_rules_come_in_order(tmp_path):
     assert request_problem(**asked) is None
     starts = ("unsupported goal", "unsupported format", "budget", "max items", "give a symbol or a file", "give a symbol or a file, not both", "a line goes", "line must", "no such folder")
     assert len(said) == len(starts) and all(x.startswith(s) for x, s in zip(said, starts))
+
+
+def test_fold_is_a_stream_over_sorted_candidates(spark):
+    """A request's candidates, of which vendored diagnostics give very many, were one array, and every step copied all verdicts before it."""
+    cols = "request_id long, family int, ord int, kind string, file string, start_line long, end_line long, token_estimate long, score double, node_kind string, is_vendor boolean"
+    required = spark.createDataFrame([(1, 0, 1, "target.definition", "a", 5, 9, 10, 9.0, None, False)], cols)
+    many = [(r, 2, o, "diagnostic.parser", f"vendor/{o}", 1, 1, 1 + o % 3, 1.0, None, True) for r in (1, 2) for o in range(1, 3001)] + [(1, 7, 1, "sibling.definition", "a", 5, 9, 1, 99.0, None, False), (2, 7, 1, "x", "a", 5, 9, 0, 0.0, None, False)]
+    said = selection.verdicts(required, spark.createDataFrame(many, cols), 50, "failure-modes")
+    assert "collect_list" not in said._jdf.queryExecution().toString()
+    rows = said.collect()
+    by = {(r.request_id, r.family, r.ord): (r.place, r.verdict) for r in rows}
+    assert len(rows) == len(many) and sorted(r.place for r in rows if r.request_id == 2) == list(range(1, 3002))
+    assert by[1, 7, 1] == (1, "overlap") and by[2, 7, 1][1] == "selected"
+    taken = lambda r: sum(1 + o % 3 for (q, f, o), (_, v) in by.items() if (q, f, v) == (r, 2, "selected"))
+    assert (taken(1), taken(2)) == (40, 50)
