@@ -198,3 +198,28 @@ def test_fold_is_a_stream_over_sorted_candidates(spark):
     assert by[1, 7, 1] == (1, "overlap") and by[2, 7, 1][1] == "selected"
     taken = lambda r: sum(1 + o % 3 for (q, f, o), (_, v) in by.items() if (q, f, v) == (r, 2, "selected"))
     assert (taken(1), taken(2)) == (40, 50)
+
+
+def test_names_and_diagnostics_go_by_keys(spark, small):
+    """No pattern or OR is joined pair by pair, and only the files asked for are read into candidates."""
+    from lodegraph.operators import candidates as ca
+    from lodegraph.plans import adapters, registry
+    from lodegraph.plans.graph import Graph
+
+    g = adapters.graph(spark, small)
+    anchors = registry.lines(spark, small, g)
+    for df in (ca.tests(g, anchors), ca.diagnostics(g, anchors)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in plan and "Cartesian" not in plan, plan
+    names = ["FooBarBaz", "a_name_of", "X", "fo\\obar", "100%sure", "été_là"]
+    one = lambda rows, cols: spark.createDataFrame(rows, cols)
+    node = one([(k, n, f"q.{n}", 0, "type", "s", 1.0) for k, n in enumerate(names)], "id long, name string, qualified_name string, file_id long, kind string, symbol_key string, confidence double")
+    file = one([(0, "src/tests/foobarbaz.py", True), (1, "src/main.py", False)], "id long, path string, is_test boolean")
+    chunk = one([(k, k, "definition", 0, 1, 1, "t", 1) for k in range(len(names))] + [(9, 0, "definition", 1, 1, 1, "t", 1)], "id long, node_id long, kind string, file_id long, start_line long, end_line long, text string, token_estimate long")
+    asked = ["foobarbaz", "name_of", "a%f", "x", "fo\\obar", "0%s", "T__l", "", "nothing"]
+    hits = ca._named_like(Graph(file, node, None, chunk, None, None, None), one([(a,) for a in asked], "needle string")).select("needle", "chunk_id").collect()
+    import re as rx
+
+    like = lambda p, t: rx.search("".join({"%": ".*", "_": "."}.get(c, rx.escape(c)) for c in p), t) is not None
+    want = sorted((a, k) for a in asked for k, n in enumerate(names) if like(a, "src/tests/foobarbaz.py") or like(a, n.lower()) or like(a, f"q.{n.lower()}"))
+    assert sorted((r.needle, r.chunk_id) for r in hits) == want
