@@ -1,4 +1,5 @@
 import json
+import math
 import os
 import subprocess
 import sys
@@ -223,3 +224,38 @@ def test_names_and_diagnostics_go_by_keys(spark, small):
     like = lambda p, t: rx.search("".join({"%": ".*", "_": "."}.get(c, rx.escape(c)) for c in p), t) is not None
     want = sorted((a, k) for a in asked for k, n in enumerate(names) if like(a, "src/tests/foobarbaz.py") or like(a, n.lower()) or like(a, f"q.{n.lower()}"))
     assert sorted((r.needle, r.chunk_id) for r in hits) == want
+
+
+def test_rows_without_a_key_are_spread(spark):
+    """Joined by null, they met in one task: half of the facts of dangling_to_unresolved."""
+    from lodegraph.operators import resolve
+
+    facts = spark.range(2000).select("id", F.when(F.col("id") % 2 == 0, "a").alias("src_key"), F.when(F.col("id") % 4 == 1, "b").when(F.col("id") == 3, "?").alias("dst_key"), F.lit(None).cast("string").alias("unresolved_src"), F.lit(None).cast("string").alias("unresolved_dst"))
+    keys = spark.createDataFrame([("a", 1), ("b", 2)], "symbol_key string, node_id long")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = resolve.attach(facts, keys)
+        held = [r["count"] for r in out.where("dst_key IS NULL").groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(held) > 1 and max(held) < 0.6 * sum(held), held
+    rows = {r.id: (r.src_node_id, r.dst_node_id, r.unresolved_src, r.unresolved_dst) for r in out.collect()}
+    assert len(rows) == 2000 and rows[0] == (1, None, None, None) and rows[1] == (None, 2, None, None) and rows[3] == (None, None, None, "?")
+
+
+def test_spans_and_terms_are_not_sorted(spark, small):
+    from lodegraph.operators import health, search
+    from lodegraph.plans import adapters
+
+    plan = health.span_problems(adapters.graph(spark, small))._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in next(x for x in plan.split("\n") if "Join" in x), plan[:2000]
+    docs = ["a a a b", "É a, b-A b", "", None, "b a", "aa b a\nb x"]
+    table = spark.createDataFrame(list(enumerate(docs)), "id long, text string")
+    found = search.bm25(table, "a_b e")
+    assert not any(x in found._jdf.queryExecution().toString() for x in ("collect_list", "posexplode"))
+    assert [r.id for r in found.collect()] == [1]
+    counted = {r.id: r.bm25 for r in search.bm25(table, "a_a").collect()}
+    n, avg, f, length = 6, (4 + 5 + 0 + 2 + 5) / 5, 2, 4
+    assert list(counted) == [0] and abs(counted[0] + math.log((n - 1 + 0.5) / 1.5) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * length / avg))) < 1e-9
